@@ -1,0 +1,197 @@
+"""Alignment of forecasts and observations in time.
+
+Axes are small frames of distinct keys; they are combined first and each dataset is then brought to
+the result with one join.  Cells that an outer alignment adds are explicit rows with NULLs.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterable
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions.dates import add_seconds
+from ..model import Dataset, Time
+
+_RUN = ("reference_time", "lead_s")
+
+
+def runs_of(df: DataFrame) -> DataFrame:
+    return df.select("reference_time").distinct()
+
+
+def leads_of(df: DataFrame) -> DataFrame:
+    return df.select("lead_s").distinct()
+
+
+def times_of(df: DataFrame) -> DataFrame:
+    return df.select("valid_time").distinct()
+
+
+def with_valid_time(df: DataFrame) -> DataFrame:
+    return df.withColumn("valid_time", add_seconds(F.col("reference_time"), F.col("lead_s")))
+
+
+def add_valid_time(ds: Dataset) -> Dataset:
+    """The valid time of a forecast's cells; observations have theirs."""
+    return ds.with_df(with_valid_time(ds.df)) if ds.is_forecast() else ds
+
+
+def _on_axis(ds: Dataset, axis: DataFrame, time_keys: tuple[str, ...]) -> DataFrame:
+    """Every place (and member) of ``ds`` at every time of ``axis``, with NULL where it has no cell."""
+    others = [k for k in ds.keys if k not in time_keys]
+    df = ds.df.drop("valid_time") if "reference_time" in time_keys else ds.df
+    full = axis.crossJoin(df.select(*others).distinct()) if others else axis
+    return full.join(df, [*time_keys, *others], "left")
+
+
+def to_forecast_axis(ds: Dataset, runs: DataFrame, leads: DataFrame) -> Dataset:
+    """A forecast on runs x leads, with valid times."""
+    axis = runs.crossJoin(leads)
+    return ds.with_df(with_valid_time(_on_axis(ds, axis, _RUN)))
+
+
+def align_forecasts(a: Dataset, b: Dataset, only_common: bool = False) -> tuple[Dataset, Dataset]:
+    """Runs that both have; leads of either, or of both with ``only_common``, which adds no cells."""
+    runs = runs_of(a.df).intersect(runs_of(b.df))
+    if only_common:
+        leads = leads_of(a.df).intersect(leads_of(b.df))
+        return tuple(d.with_df(d.df.join(runs, "reference_time", "left_semi").join(leads, "lead_s", "left_semi")) for d in (a, b))
+    leads = leads_of(a.df).union(leads_of(b.df)).distinct()
+    return to_forecast_axis(a, runs, leads), to_forecast_axis(b, runs, leads)
+
+
+def align_observations(a: Dataset, b: Dataset, only_common: bool = False) -> tuple[Dataset, Dataset]:
+    """Valid times of either, or of both with ``only_common``."""
+    if only_common:
+        both = times_of(a.df).intersect(times_of(b.df))
+        return tuple(d.with_df(d.df.join(both, "valid_time", "left_semi")) for d in (a, b))
+    times = times_of(a.df).union(times_of(b.df)).distinct()
+    return tuple(d.with_df(_on_axis(d, times, ("valid_time",))) for d in (a, b))
+
+
+def uniform_step(fc: DataFrame) -> int:
+    """Seconds between runs; NotImplementedError if they differ, IndexError if there is a single run."""
+    w = Window.orderBy("reference_time")  # over the distinct runs only
+    gap = F.timestamp_diff("SECOND", F.lag("reference_time").over(w), F.col("reference_time"))
+    low, high = runs_of(fc).select(gap.alias("gap")).agg(F.min("gap"), F.max("gap")).first()
+    if low is None:
+        raise IndexError("a single run has no step")
+    if low != high:
+        raise NotImplementedError("reference times aren't evenly spaced")
+    return int(low)
+
+
+def stitch(fc: Dataset, lead_time: str = "start-min") -> Dataset:
+    """A forecast as one series in valid time, an observation by trait; run and lead stay as attributes.
+
+    ``start-min`` takes each run up to the next one.  ``start-max`` takes whole runs, one in as many
+    as the longest lead spans, without the last of the range; at a seam the shorter lead counts.
+    """
+    step = uniform_step(fc.df)
+    if lead_time == "start-min":
+        df = fc.df.where(F.col("lead_s") < step)
+    elif lead_time == "start-max":
+        first, last, span = fc.df.agg(F.min("reference_time"), F.max("reference_time"), F.max("lead_s")).first()
+        if span < 1:
+            raise ValueError("start-max needs leads above zero")
+        since = F.timestamp_diff("SECOND", F.lit(first).cast("timestamp_ntz"), F.col("reference_time"))
+        df = fc.df.where((since % span == 0) & (F.col("reference_time") < F.lit(last).cast("timestamp_ntz")))
+        want = -(-int((last - first).total_seconds()) // span)
+        if (have := runs_of(df).count()) != want:
+            raise KeyError(f"{want - have} of the {want} runs that start-max needs aren't there")
+        others = [k for k in fc.keys if k not in _RUN]
+        df = with_valid_time(df)
+        w = Window.partitionBy("valid_time", *others).orderBy("lead_s")
+        df = df.withColumn("_nr", F.row_number().over(w)).where("_nr = 1").drop("_nr")
+    else:
+        raise ValueError(f"unknown choice of lead times {lead_time!r}")
+    df = with_valid_time(df).withColumnsRenamed({"reference_time": "run_time", "lead_s": "run_lead_s"})
+    return fc.with_df(df).with_time(Time.OBSERVATION)
+
+
+def align_forecast_observation(fc: Dataset, obs: Dataset, only_common: bool = False, lead_time: str = "start-min") -> tuple[Dataset, Dataset]:
+    return align_observations(stitch(fc, lead_time), obs, only_common)
+
+
+def run_range(obs: DataFrame, fc: DataFrame) -> tuple:
+    """First and last valid time of the observations, and the longest lead."""
+    return (*obs.agg(F.min("valid_time"), F.max("valid_time")).first(), fc.agg(F.max("lead_s")).first()[0])
+
+
+def covered_runs(obs: DataFrame, fc: DataFrame) -> DataFrame:
+    """Runs that start when observations have begun and end, with the longest lead, before they stop."""
+    first, last, span = run_range(obs, fc)
+    runs = runs_of(fc)
+    if first is None or span is None:
+        raise ValueError("no observation or no forecast")
+    ends = add_seconds(F.col("reference_time"), F.lit(span))
+    out = runs.where((F.col("reference_time") >= F.lit(first).cast("timestamp_ntz")) & (ends <= F.lit(last).cast("timestamp_ntz")))
+    if out.isEmpty():
+        raise ValueError("observations cover no run whole")
+    return out
+
+
+def align_observation_forecast(obs: Dataset, fc: Dataset, only_common: bool = False, on_missing: str = "raise") -> tuple[Dataset, Dataset]:
+    """Observations looked up at every run and lead; they become a forecast by trait.
+
+    Runs that the observations don't cover are cut.  Within the rest each valid time must exist, or
+    KeyError; ``on_missing="null"`` gives NULLs instead.  With ``only_common`` both sides are cut,
+    else the observations have NULLs for the cut runs and the forecast is whole.
+    """
+    runs, leads = covered_runs(obs.df, fc.df), leads_of(fc.df)
+    inner = with_valid_time(runs.crossJoin(leads))
+    if on_missing == "raise":
+        gap = inner.join(times_of(obs.df), "valid_time", "left_anti").select("valid_time").limit(1).collect()  # axes only
+        if gap:
+            raise KeyError(f"no observation at {gap[0][0]}")
+    found = obs.with_df(inner.join(obs.df, "valid_time", "inner").select(*_RUN, *obs.df.columns)).with_time(Time.FORECAST)
+    if only_common:
+        return found, fc.with_df(fc.df.join(runs, "reference_time", "left_semi"))
+    return to_forecast_axis(found, runs_of(fc.df), leads), add_valid_time(fc)
+
+
+def align_pair(a: Dataset, b: Dataset, **options) -> tuple[Dataset, Dataset]:
+    """Dispatch on the two time traits."""
+    if a.is_forecast():
+        return align_forecasts(a, b, **options) if b.is_forecast() else align_forecast_observation(a, b, **options)
+    return align_observation_forecast(a, b, **options) if b.is_forecast() else align_observations(a, b, **options)
+
+
+def align_time(datasets: Iterable[Dataset] | dict[str, Dataset], return_as: str = "forecast", on_missing: str = "raise") -> list[Dataset]:
+    """All datasets on one axis: common runs and all leads of the forecasts, or all valid times if there is none."""
+    if return_as != "forecast":
+        raise NotImplementedError(f"return_as={return_as!r}")
+    sets = list(datasets.values() if isinstance(datasets, dict) else datasets)
+    forecasts, observations = [d for d in sets if d.is_forecast()], [d for d in sets if d.is_observation()]
+    if forecasts:
+        runs, leads = runs_of(forecasts[0].df), leads_of(forecasts[0].df)
+        for d in forecasts[1:]:
+            runs, leads = runs.intersect(runs_of(d.df)), leads.union(leads_of(d.df)).distinct()
+        axis = Dataset(runs.crossJoin(leads), forecasts[0].properties)
+        return [to_forecast_axis(d, runs, leads) if d.is_forecast() else align_observation_forecast(d, axis, on_missing=on_missing)[0] for d in sets]
+    if not observations:
+        raise ValueError("no dataset to align")
+    times = times_of(observations[0].df)
+    for d in observations[1:]:
+        times = times.union(times_of(d.df)).distinct()
+    return [d.with_df(_on_axis(d, times, ("valid_time",))) for d in observations]
+
+
+@dataclass(frozen=True)
+class TimeAccessor:
+    ds: Dataset
+
+    def is_forecast(self) -> bool:
+        return self.ds.is_forecast()
+
+    def is_observation(self) -> bool:
+        return self.ds.is_observation()
+
+    def add_valid_time(self) -> Dataset:
+        return add_valid_time(self.ds)
+
+    def align_with(self, other: Dataset, **options) -> tuple[Dataset, Dataset]:
+        return align_pair(self.ds, other, **options)
