@@ -80,7 +80,7 @@ class Dates:
         """``reference_time, lead_s, valid_time`` made in the cluster."""
         first, last = (to_datetime(x).isoformat(sep=" ") for x in (self.start, self.end))
         runs = spark.range(1).select(F.explode(F.expr(f"sequence(timestamp_ntz'{first}', timestamp_ntz'{last}', make_dt_interval(0, 0, 0, {to_seconds(self.period)}))")).alias("reference_time"))
-        out = runs.select("reference_time", F.explode(F.sequence(F.lit(0), F.lit(int(to_seconds(self.range))), F.lit(int(to_seconds(self.step))))).cast("long").alias("lead_s"))
+        out = runs.select("reference_time", F.explode(F.sequence(*[F.lit(int(to_seconds(x))).cast("long") for x in (0, self.range, self.step)])).alias("lead_s"))
         return out.withColumn("valid_time", add_seconds(F.col("reference_time"), F.col("lead_s")))
 
     def substitute(self, template: str) -> list[str]:

@@ -154,14 +154,14 @@ class Dataset:
     @property
     def time(self):
         """Operators on the time axis."""
-        from .operators.align_time import TimeAccessor
+        from .operators.time_alignment import TimeAccessor
 
         return TimeAccessor(self)
 
     @property
     def space(self):
         """Operators on places."""
-        from .operators.align_space import SpaceAccessor
+        from .operators.space_alignment import SpaceAccessor
 
         return SpaceAccessor(self)
 

@@ -1,7 +1,7 @@
 """Alignment in time and space, interpolation, masks, transformations and verification."""
 
-from .align_space import align_space
-from .align_time import align_time
+from .space_alignment import align_space
+from .time_alignment import align_time
 from .interpolate import available_interpolations, interpolate, register_interpolator
 from .mask import broadcast_nulls
 from .transform import available_transformations, register_transformation, transform

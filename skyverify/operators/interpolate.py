@@ -19,7 +19,7 @@ MAX_AXIS, MAX_CELLS = 20_000, 100_000
 
 
 def register_interpolator(name: str):
-    """Register a function of (source, target, **options) that gives ``point_index, corner, grid_index, w``."""
+    """Register a function of (source, target, **options) that gives (``point_index, corner, grid_index, w``, corners for each point)."""
 
     def add(fn):
         _METHODS[name] = fn
@@ -45,23 +45,26 @@ def _fraction(axis: list[float], x: Column, method: str) -> tuple[Column, Column
     return low, high, share
 
 
-def _corners(points: DataFrame, x: tuple, y: tuple) -> DataFrame:
-    """Four rows for each point: indices along x and y, and the weight."""
+def _corners(points: DataFrame, x: tuple, y: tuple, method: str) -> DataFrame:
+    """Rows for each point with indices along x and y and the weight: four corners, or the nearest one."""
     (x0, x1, fx), (y0, y1, fy) = x, y
     corner = lambda k, i, j, w: F.struct(F.lit(k).alias("corner"), i.alias("ix"), j.alias("iy"), w.alias("w"))
     made = [corner(0, x0, y0, (1 - fx) * (1 - fy)), corner(1, x1, y0, fx * (1 - fy)), corner(2, x0, y1, (1 - fx) * fy), corner(3, x1, y1, fx * fy)]
-    return points.select("point_index", F.explode(F.array(*made)).alias("c")).select("point_index", "c.*")
+    out = points.select("point_index", F.explode(F.array(*made)).alias("c")).select("point_index", "c.*")
+    if method == "nearest":
+        out = out.where((F.col("w") == 1.0) | (F.col("w").isNull() & (F.col("corner") == 0))).withColumn("corner", F.lit(0))
+    return out
 
 
 @register_interpolator("bilinear")
-def bilinear(source: Dataset, target: Dataset, method: str = "linear") -> DataFrame:
+def bilinear(source: Dataset, target: Dataset, method: str = "linear") -> tuple[DataFrame, int]:
     """Weights on a regular latitude-longitude grid, or on a projected grid that has a grid mapping.
 
     ``method`` is ``linear`` or ``nearest``.  A point outside the grid gets NULL weights.
     """
     if method not in ("linear", "nearest"):
         raise ValueError(f"unknown method {method!r}")
-    points = target.places
+    points, corners = target.places, 1 if method == "nearest" else 4
     if source.grid is None:
         axes = []
         for c in ("longitude", "latitude"):
@@ -73,9 +76,9 @@ def bilinear(source: Dataset, target: Dataset, method: str = "linear") -> DataFr
         if cells.count() != len(axes[0]) * len(axes[1]):
             raise ValueError("the grid isn't regular in latitude and longitude, and has no grid mapping")
         lon, lat = (F.array(*[F.lit(float(v)) for v in a]) for a in axes)
-        at = _corners(points, _fraction(axes[0], F.col("longitude"), method), _fraction(axes[1], F.col("latitude"), method))
+        at = _corners(points, _fraction(axes[0], F.col("longitude"), method), _fraction(axes[1], F.col("latitude"), method), method)
         at = at.select("point_index", "corner", "w", F.element_at(lon, F.col("ix") + 1).alias("longitude"), F.element_at(lat, F.col("iy") + 1).alias("latitude"))
-        return at.join(cells, ["longitude", "latitude"]).select("point_index", "corner", "grid_index", "w")
+        return at.join(cells, ["longitude", "latitude"]).select("point_index", "corner", "grid_index", "w"), corners
     if source.crs is None:
         raise KeyError("crs")
     g = source.grid
@@ -90,8 +93,8 @@ def bilinear(source: Dataset, target: Dataset, method: str = "linear") -> DataFr
             share = F.when(share <= 0.5, 0.0).when(share > 0.5, 1.0)
         return low, F.least(low + 1, F.lit(n - 1)), share
 
-    at = _corners(points, along(x, g["nx"], x_ll, g["dx"]), along(y, g["ny"], y_ll, g["dy"]))
-    return at.select("point_index", "corner", (F.col("iy") * g["nx"] + F.col("ix")).cast("long").alias("grid_index"), "w")
+    at = _corners(points, along(x, g["nx"], x_ll, g["dx"]), along(y, g["ny"], y_ll, g["dy"]), method)
+    return at.select("point_index", "corner", (F.col("iy") * g["nx"] + F.col("ix")).cast("long").alias("grid_index"), "w"), corners
 
 
 def delaunay_triangles(xy: np.ndarray) -> np.ndarray:
@@ -136,7 +139,7 @@ def barycentric(corners: np.ndarray, points: np.ndarray) -> np.ndarray:
 
 
 @register_interpolator("delaunay")
-def delaunay(source: Dataset, target: Dataset, method: str = "linear", eps: float = 1e-12) -> DataFrame:
+def delaunay(source: Dataset, target: Dataset, method: str = "linear", eps: float = 1e-12) -> tuple[DataFrame, int]:
     """Barycentric weights in the Delaunay triangulation of the cells in (latitude, longitude) degrees.
 
     The driver triangulates; points are located in the cluster.  A point outside the hull gets NULL
@@ -171,7 +174,7 @@ def delaunay(source: Dataset, target: Dataset, method: str = "linear", eps: floa
                     rows.append((point, 0, int(ids[0]), None))
             yield pd.DataFrame(rows, columns=["point_index", "corner", "grid_index", "w"])
 
-    return target.places.select("point_index", "latitude", "longitude").mapInPandas(locate, "point_index bigint, corner int, grid_index bigint, w double")
+    return target.places.select("point_index", "latitude", "longitude").mapInPandas(locate, "point_index bigint, corner int, grid_index bigint, w double"), 3
 
 
 def apply_weights(source: Dataset, weights: DataFrame, corners: int) -> DataFrame:
@@ -190,8 +193,8 @@ def interpolate_one(source: Dataset, target: Dataset, method: str = "bilinear",
         raise ValueError(f"unknown interpolation {method!r}; there are {', '.join(available_interpolations())}")
     if source.space_key != "grid_index":
         raise ValueError("the grid must be stacked to grid_index")
-    weights = _METHODS[method](source, target, **options)
-    out = source.with_df(apply_weights(source, weights, 3 if method == "delaunay" else 4), places=target.places, grid=None, crs=None)
+    weights, corners = _METHODS[method](source, target, **options)
+    out = source.with_df(apply_weights(source, weights, corners), places=target.places, grid=None, crs=None)
     return out.with_space(Space.POINT)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..model import Dataset
 from ..operators import align_time, broadcast_nulls, transform
-from ..operators.align_space import align_pair
+from ..operators.space_alignment import align_pair
 from ..operators.verify import stacked_metrics
 from ..sources import load, save_metrics, save_sets
 from ..sources.loaders import existing

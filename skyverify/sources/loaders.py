@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..model import ATTRIBUTES, KEYS, Dataset, Properties, Space, Time, infer_properties, validate, without_nan
-from ..operators.align_space import add_crs, add_grid_mapping
+from ..operators.space_alignment import add_crs, add_grid_mapping
 
 _LOADERS: dict[str, Callable] = {}
 
@@ -153,7 +153,12 @@ def analysis(spark: SparkSession, paths: list[str], variables: list[str] | None
     Member ``member`` stays and its key goes; forcing variables can't be had.  Without ``variables``
     the names are looked up first, since a pivot needs them.
     """
-    long = reduce(DataFrame.unionByName, [_ntz(scan(spark, [p], **options)) for p in paths]).where((F.col("ensemble") == member) & ~F.col("variable").isin(*FORCING_VARIABLES))
+    return analysis_dataset(reduce(DataFrame.unionByName, [_ntz(scan(spark, [p], **options)) for p in paths]), variables, member)
+
+
+def analysis_dataset(long: DataFrame, variables: list[str] | None = None, member: int = 0) -> Dataset:
+    """A long table as a grid of observations; see ``analysis``."""
+    long = long.where((F.col("ensemble") == member) & ~F.col("variable").isin(*FORCING_VARIABLES))
     names = variables or [r[0] for r in long.select("variable").distinct().orderBy("variable").collect()]
     long = long.withColumnsRenamed({"dates": "valid_time", "cell": "grid_index", "longitudes": "longitude", "latitudes": "latitude"})
     if unknown := [v for v in names if v in FORCING_VARIABLES]:
@@ -171,12 +176,19 @@ def runs(spark: SparkSession, paths: list[str], variables: list[str] | None = No
     count from it.
     """
     df = _ntz(scan(spark, paths, **options))
-    df = df.withColumn("_run", F.col(run_column) if run_column else F.input_file_name())
+    if run_column is None:
+        df, run_column = df.withColumn("run_file", F.input_file_name()), "run_file"
+    return run_dataset(df, run_column, variables)
+
+
+def run_dataset(df: DataFrame, run_column: str, variables: list[str] | None = None) -> Dataset:
+    """Forecast runs told apart by ``run_column``; see ``runs``."""
+    df = df.withColumnRenamed(run_column, "_run")
     first = df.groupBy("_run").agg(F.min("time").alias("reference_time"))
     df = df.join(first, "_run").withColumn("lead_s", F.timestamp_diff("SECOND", F.col("reference_time"), F.col("time")))
-    df = df.drop("_run", "time", *([run_column] if run_column else [])).withColumnRenamed("values", "grid_index").withColumn("grid_index", F.col("grid_index").cast("long"))
+    df = df.drop("_run", "time").withColumnRenamed("values", "grid_index").withColumn("grid_index", F.col("grid_index").cast("long"))
     if variables:
-        df = df.select(*[c for c in df.columns if c in KEYS or c in variables])
+        df = df.select(*[c for c in df.columns if c in KEYS or c in variables], *[v for v in variables if v not in df.columns and _missing(v)])
     df, places = split_places(df, "grid_index", ("longitude", "latitude"))
     order = [c for c in ("reference_time", "lead_s", "grid_index") if c in df.columns]
     return Dataset(df.select(*order, *[c for c in df.columns if c not in order]), Properties(Space.GRID, Time.FORECAST), places)
