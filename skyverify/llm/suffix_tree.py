@@ -24,35 +24,64 @@ from pyspark.sql import functions as F
 
 from .common import batch, cut, raw_texts, small_batches, text_of
 
-SYMBOLS, END, OTHER = 64, 0, 1
+BITS = 6
+SYMBOLS, END, OTHER = 1 << BITS, 0, 1
 #: Code points that share the symbol OTHER.
 OUTSIDE = 0x110000 - (SYMBOLS - 2)
 #: Text bytes of a group that is scored at once.
-GROUP_BYTES = 12_000_000
+GROUP_BYTES = 10_000_000
 #: Symbols and distinct n-grams that a worker handles at once.
-CHUNK, TABLE, WORDS = 1_000_000, 2_000_000, 200_000
+CHUNK, TABLE, WORDS = 400_000, 1_000_000, 200_000
 _WORDS = pa.schema([("grp", pa.int64()), ("word", pa.binary()), ("n", pa.int64())])
 _SCORES = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
 
 
 def normalised(raw: bytes) -> str:
-    return b" ".join(raw.lower().split()).decode()
+    """Words in lower case with a space between; U+0000, which marks ends, becomes U+FFFD."""
+    return b" ".join(raw.lower().split()).decode().replace("\0", "\ufffd")
 
 
-def symbols(text: str, classes: np.ndarray, depth: int) -> np.ndarray:
-    """``depth`` ends, the text, an end."""
-    out = np.zeros(depth + len(text) + 1, np.int64)
-    out[depth:-1] = classes[np.frombuffer(text.encode("utf-32-le"), "<u4")]
+def windows(text: str, classes: np.ndarray, depth: int) -> np.ndarray:
+    """n-gram codes of the places of ``text`` after its first ``depth``: the next symbol in the lowest digit, then contexts outward."""
+    x = classes[np.frombuffer(text.encode("utf-32-le"), "<u4")]
+    out = np.zeros(len(x) - depth, np.int64)
+    for k in range(depth, -1, -1):
+        out <<= BITS
+        out |= x[depth - k : len(x) - k]
     return out
 
 
-def windows(x: np.ndarray, depth: int) -> np.ndarray:
-    """n-gram codes of one text's positions: the next symbol in the lowest digit, then contexts outward."""
-    n = len(x) - depth
-    out = np.zeros(n, np.int64)
-    for k in range(depth, -1, -1):
-        out = out * SYMBOLS + x[depth - k : depth - k + n]
-    return out
+def batches_of(texts: list[str], classes: np.ndarray, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(numbers of texts, their lengths with the end, codes of all their places), at most about CHUNK places at once.
+
+    A longer text comes in several parts.
+    """
+    pad, waiting, size = "\0" * depth, [], 0
+
+    def joined() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        lengths = np.array([len(texts[i]) + 1 for i in waiting])
+        codes = windows(pad + ("\0" + pad).join(texts[i] for i in waiting) + "\0", classes, depth)
+        if len(waiting) > 1:  # without the places that lie within the padding between texts
+            ends = np.cumsum(lengths + depth)[:-1] - depth
+            keep = np.ones(len(codes), bool)
+            keep[(ends[:, None] + np.arange(depth)).ravel()] = False
+            codes = codes[keep]
+        return np.array(waiting), lengths, codes
+
+    for i, text in enumerate(texts):
+        if len(text) >= CHUNK:
+            whole = pad + text + "\0"
+            for at in range(0, len(text) + 1, CHUNK):
+                codes = windows(whole[at : at + CHUNK + depth], classes, depth)
+                yield np.array([i]), np.array([len(codes)]), codes
+            continue
+        waiting.append(i)
+        size += len(text)
+        if size >= CHUNK:
+            yield joined()
+            waiting, size = [], 0
+    if waiting:
+        yield joined()
 
 
 @dataclass
@@ -68,6 +97,7 @@ class Tree:
     def classes(self) -> np.ndarray:
         out = np.full(0x110000, OTHER, np.int64)
         out[self.alphabet] = np.arange(2, 2 + len(self.alphabet))
+        out[0] = END
         return out
 
     def state_of(self, context: np.ndarray) -> np.ndarray:
@@ -76,16 +106,51 @@ class Tree:
         for d in range(1, self.depth + 1):
             known = self.contexts[d]
             if len(known):
-                code = context % SYMBOLS**d
+                code = context & ((1 << BITS * d) - 1)
                 k = np.minimum(np.searchsorted(known, code), len(known) - 1)
                 hit = known[k] == code
                 out[hit] = self.states[d][k[hit]]
         return out
 
+
+class Scorer:
+    """A tree as two tables, so that a place takes three lookups.
+
+    All but the outermost symbol of a context lead to a node, and that symbol leads from the node to
+    the state.  Beyond a depth of 5 the first table would be too large and the tree is searched.
+    """
+
+    def __init__(self, tree: Tree):
+        self.tree, self.classes = tree, tree.classes().astype(np.uint8)
+        self.log10 = tree.log10.copy()
+        self.log10[:, OTHER] -= np.log10(OUTSIDE)
+        self.log10 = np.ascontiguousarray(self.log10).ravel()
+        self.inner = tree.depth - 1
+        self.node = None
+        if tree.depth <= 5:
+            # first the state without the outermost symbol, for each inner context: a node for each state
+            self.node = np.zeros(1 << BITS * self.inner, np.int32)
+            for d in range(1, tree.depth):
+                self.node.reshape(-1, 1 << BITS * d)[:, tree.contexts[d]] = tree.states[d]
+            deep, mask = tree.contexts[tree.depth], len(self.node) - 1
+            inside, n = np.unique(deep & mask), len(tree.log10)
+            children = np.repeat(np.r_[np.arange(n), self.node[inside]].astype(np.int32)[:, None], SYMBOLS, axis=1)
+            self.node[inside] = n + np.arange(len(inside))
+            children[self.node[deep & mask], deep >> BITS * self.inner] = tree.states[tree.depth]
+            self.children = children.ravel()
+
     def score(self, codes: np.ndarray) -> np.ndarray:
-        """log10 probability of each position."""
-        symbol = codes % SYMBOLS
-        return self.log10[self.state_of(codes // SYMBOLS), symbol] - np.where(symbol == OTHER, np.log10(OUTSIDE), 0.0)
+        """log10 probability of each place."""
+        context = codes >> BITS
+        if self.node is None:
+            state = self.tree.state_of(context)
+        else:
+            at = self.node[context & ((1 << BITS * self.inner) - 1)].astype(np.int64)
+            state = self.children[(at << BITS) | (context >> BITS * self.inner)].astype(np.int64)
+        return self.log10[(state << BITS) | (codes & (SYMBOLS - 1))]
+
+
+_scorers: dict[tuple, Scorer] = {}
 
 
 def grow(rows: list[np.ndarray], alphabet: list[int], depth: int, p_min: float = 5e-6, gain: float = 20.0, prior: float = 10.0) -> Tree:
@@ -131,27 +196,16 @@ def _point_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def _gram_counts(alphabet: list[int], depth: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes = Tree(alphabet, depth, [], [], np.zeros(0)).classes()
+        classes = Tree(alphabet, depth, [], [], np.zeros(0)).classes().astype(np.uint8)
         codes, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        waiting: list[np.ndarray] = []
-
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            got, n = np.unique(np.concatenate(waiting), return_counts=True) if waiting else (codes[:0], counts[:0])
-            waiting.clear()
-            both, where = np.unique(np.concatenate([codes, got]), return_inverse=True)
-            return both, np.bincount(where, np.concatenate([counts, n]), len(both)).astype(np.int64)
-
         for rows in batches:
-            for raw in raw_texts(rows.column(0)):
-                x = symbols(normalised(raw), classes, depth)
-                for at in range(0, len(x) - depth, CHUNK):
-                    waiting.append(windows(x[at : at + CHUNK + depth], depth))
-                    if sum(map(len, waiting)) >= CHUNK:
-                        codes, counts = merged()
-                        if len(codes) >= TABLE:
-                            yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(counts)], names=["code", "n"])
-                            codes, counts = codes[:0], counts[:0]
-        codes, counts = merged()
+            for _, _, got in batches_of([normalised(raw) for raw in raw_texts(rows.column(0))], classes, depth):
+                new, n = np.unique(got, return_counts=True)
+                codes, where = np.unique(np.concatenate([codes, new]), return_inverse=True)
+                counts = np.bincount(where, np.concatenate([counts, n]), len(codes)).astype(np.int64)
+                if len(codes) >= TABLE:
+                    yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(counts)], names=["code", "n"])
+                    codes, counts = codes[:0], counts[:0]
         yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(counts)], names=["code", "n"])
 
     return run
@@ -200,16 +254,24 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _scorer(tree):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         t: Tree = tree.value
-        classes, depth = t.classes(), t.depth
-        counts = dict(zip(right.column("word").to_pylist(), right.column("total").to_pylist(), strict=True))
-        get, rows = counts.get, []
-        for doc, held, raw in zip(left.column("doc_id").to_pylist(), left.column("held_out").to_pylist(), (raw for c in left.column("text").chunks for raw in raw_texts(c)), strict=True):
+        key = (t.depth, len(t.log10), float(t.log10.sum()), tuple(t.alphabet))
+        if key not in _scorers:  # its tables serve all groups of a worker
+            _scorers.clear()
+            _scorers[key] = Scorer(t)
+        scorer = _scorers[key]
+        get = dict(zip(right.column("word").to_pylist(), right.column("total").to_pylist(), strict=True)).get
+        texts, known, base, tokens = [], [], [], []
+        for raw in (raw for c in left.column("text").chunks for raw in raw_texts(c)):
             words = raw.lower().split()
             c = np.fromiter((get(w, 0) for w in words), np.int64, len(words))
-            x = symbols(b" ".join(words).decode(), classes, depth)
-            score = sum(float(t.score(windows(x[at : at + CHUNK + depth], depth)).sum()) for at in range(0, len(x) - depth, CHUNK))
-            rows.append((doc, held, len(words) + 1, int((c > 0).sum()), float(np.log10(c + 0.1).sum()), score))
-        return pa.Table.from_batches([batch(_SCORES, list(zip(*rows, strict=True)) or [[]] * len(_SCORES))])
+            tokens.append(len(words) + 1)
+            known.append(int((c > 0).sum()))
+            base.append(float(np.log10(c + 0.1).sum()))
+            texts.append(b" ".join(words).decode().replace("\0", "\ufffd"))
+        score = np.zeros(len(texts))
+        for which, lengths, codes in batches_of(texts, scorer.classes, t.depth):
+            score[which] += np.add.reduceat(scorer.score(codes), np.r_[0, np.cumsum(lengths)[:-1]])
+        return pa.Table.from_arrays([left.column("doc_id"), left.column("held_out"), pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(score)], schema=_SCORES)
 
     return run
 
@@ -228,15 +290,18 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = max(1, -(-size // GROUP_BYTES))
     dealt = own.withColumn("grp", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups))).repartition(groups, "grp")
-    words = cut(dealt.mapInArrow(_word_counts, "grp bigint, word binary, n bigint"))
-    totals = words.groupBy("word").agg(F.sum("n").alias("n")).where("n > 0").agg(F.count("*").alias("distinct"), F.sum("n").alias("tokens")).first()
+    words = dealt.mapInArrow(_word_counts, "grp bigint, word binary, n bigint")
+    # a word has at most a few rows for each group, however frequent it is; the first one stands for the word
+    w = Window.partitionBy("word")
+    counted = words.withColumns({"total": F.sum("n").over(w), "nr": F.row_number().over(w.orderBy("grp"))}).where("total > 0")
+    asked = counted.select("grp", "word", "total")
+    sums = counted.where("nr = 1").agg(F.count("*").alias("distinct"), F.coalesce(F.sum("total"), F.lit(0)).alias("tokens"))
     ends = own.where("NOT held_out").count()
-    tokens, distinct = (totals["tokens"] or 0) + ends, totals["distinct"] + (ends > 0)
-    # a word has at most as many rows as there are groups, however frequent it is
-    asked = words.withColumn("total", F.sum("n").over(Window.partitionBy("word"))).where("total > 0").select("grp", "word", "total")
     got = dealt.groupBy("grp").cogroup(asked.groupBy("grp")).applyInArrow(_scorer(tree), "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base double, score double")
-    below = float(np.log10(tokens + 0.1 * (distinct + 1)))
-    return got.select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.lit(int(ends > 0))).alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + F.lit(float(np.log10(ends + 0.1))) - F.col("n_tokens") * F.lit(below)).alias("base_score"), "score",
+    tokens, distinct = F.col("tokens") + F.lit(ends), F.col("distinct") + F.lit(int(ends > 0))
+    below = F.log10(tokens + 0.1 * (distinct + 1))
+    # one row of totals; both exchanges above are shared with it
+    return got.withColumn("one", F.lit(1)).join(F.broadcast(sums.withColumn("one", F.lit(1))), "one").select(
+        "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.lit(int(ends > 0))).alias("n_known"), tokens.cast("long").alias("train_tokens"),
+        (F.col("base") + F.lit(float(np.log10(ends + 0.1))) - F.col("n_tokens") * below).alias("base_score"), "score",
     )
