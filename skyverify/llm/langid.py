@@ -156,7 +156,7 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
     return docs.select(docs[id_col].alias("doc_id"), prediction(docs[text_col], model, docs.sparkSession).alias("r")).select("doc_id", "r.*")
 
 
-def keep_known(docs: DataFrame, model: Model | None, least: float = 0.5, text_col: str = "text") -> DataFrame:
+def keep_known(docs: DataFrame, model: Model | None, least: float = 0.25, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose text is in a learned language with a score of ``least`` or more, with all their columns."""
     small_batches(docs.sparkSession)
     rows = docs.select(F.struct("*").alias("row"), prediction(docs[text_col], model, docs.sparkSession).alias("r"))
