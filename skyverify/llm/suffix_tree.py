@@ -6,14 +6,19 @@ up to ``depth`` characters.  A context is a candidate if its share of all positi
 it diverges enough from what follows its longest retained suffix.  A state's next-symbol distribution
 is smoothed with that suffix's.  Each position is scored in the state of its longest retained suffix.
 
+The tree spells tokens: with the states before its characters it gives each word, and the end, a
+probability Q given what came before.  A token's probability is (c + V * Q) / (N + V), where c is its
+count in training texts, V the number of distinct tokens and N that of all.  So the part of the model
+that is broadcast is bounded, and the word counts grow with the corpus, exactly and without a limit.
+
 Counts are of all training texts: n-grams of the full depth are counted by partition and summed in
-the cluster, and shorter ones follow from them.  Unigram base scores need the count of each word in
-all training texts.  Texts are dealt into groups of bounded bytes; each group asks for its words and
-gets the counts back, so neither words nor counts ever meet in one place.
+the cluster, and shorter ones follow from them.  Texts are dealt into groups of bounded bytes; each
+group asks for its words and gets the counts back, so neither words nor counts ever meet in one place.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,9 +36,10 @@ OUTSIDE = 0x110000 - (SYMBOLS - 2)
 #: Text bytes of a group that is scored at once.
 GROUP_BYTES = 10_000_000
 #: Symbols and distinct n-grams that a worker handles at once.
-CHUNK, TABLE, WORDS = 400_000, 1_000_000, 200_000
+CHUNK, TABLE, WORDS = 400_000, 1_500_000, 200_000
 _WORDS = pa.schema([("grp", pa.int64()), ("word", pa.binary()), ("n", pa.int64())])
-_SCORES = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
+_SCORES = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+_SCORES_SQL = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
 
 
 def normalised(raw: bytes) -> str:
@@ -197,16 +203,21 @@ def _point_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def _gram_counts(alphabet: list[int], depth: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes = Tree(alphabet, depth, [], [], np.zeros(0)).classes().astype(np.uint8)
-        codes, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        waiting: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def merged() -> pa.RecordBatch:
+            codes, where = np.unique(np.concatenate([c for c, _ in waiting]), return_inverse=True)
+            counts = np.bincount(where, np.concatenate([n for _, n in waiting]), len(codes)).astype(np.int64)
+            waiting.clear()
+            return pa.RecordBatch.from_arrays([pa.array(codes), pa.array(counts)], names=["code", "n"])
+
         for rows in batches:
             for _, _, got in batches_of([normalised(raw) for raw in raw_texts(rows.column(0))], classes, depth):
-                new, n = np.unique(got, return_counts=True)
-                codes, where = np.unique(np.concatenate([codes, new]), return_inverse=True)
-                counts = np.bincount(where, np.concatenate([counts, n]), len(codes)).astype(np.int64)
-                if len(codes) >= TABLE:
-                    yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(counts)], names=["code", "n"])
-                    codes, counts = codes[:0], counts[:0]
-        yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(counts)], names=["code", "n"])
+                waiting.append(np.unique(got, return_counts=True))
+                if sum(len(c) for c, _ in waiting) >= TABLE:
+                    yield merged()
+        if waiting:
+            yield merged()
 
     return run
 
@@ -233,45 +244,82 @@ def fit(train: DataFrame, text_col: str = "text", depth: int = 5, p_min: float =
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A group's distinct words with their counts in training texts; a word may come in several rows."""
-    words: dict[tuple[int, bytes], int] = {}
+    words: dict[int, Counter] = {}
 
     def out() -> pa.RecordBatch:
-        got = batch(_WORDS, [[g for g, _ in words], [w for _, w in words], list(words.values())])
+        got = batch(_WORDS, [[g for g, c in words.items() for _ in c], [w for c in words.values() for w in c], [n for c in words.values() for n in c.values()]])
         words.clear()
         return got
 
     for rows in batches:
         groups, held = rows.column("grp").to_pylist(), rows.column("held_out").to_pylist()
         for g, h, raw in zip(groups, held, raw_texts(rows.column("text")), strict=True):
-            one = 0 if h else 1
-            for w in raw.lower().split():
-                words[g, w] = words.get((g, w), 0) + one
-            if len(words) > WORDS:
+            own, tokens = words.setdefault(g, Counter()), raw.lower().split()
+            own.update(dict.fromkeys(tokens, 0) if h else tokens)
+            if sum(map(len, words.values())) > WORDS:
                 yield out()
     yield out()
 
 
-def _scorer(tree):
+def spelled(scorer: Scorer, texts: list[str], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """log10 Q of the words of all texts and of their ends, and the number of words of each text.
+
+    A text is a run of units, each a word with the place after it; an empty text has one of no letters.
+    After a unit the tree's chance of an end is P(end) / (P(end) + P(space)).
+    """
+    sizes = [[len(w) + 1 for w in text.split(" ")] for text in texts]
+    units = np.array([len(x) for x in sizes])
+    size = np.fromiter((x for one in sizes for x in one), np.int64, int(units.sum()))
+    first = np.r_[0, np.cumsum(units)]
+    letters, stop, end = np.zeros(len(size)), np.ones(len(size)), np.ones(len(size))
+    done: Counter = Counter()
+    space = int(scorer.classes[32])
+    for which, lengths, codes in batches_of(texts, scorer.classes, depth):
+        n = units[which]
+        u = np.repeat(first[which] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+        ends = np.cumsum(size[u]) - done[int(which[0])]  # a long text comes in parts, one at a time
+        lo, hi = np.searchsorted(ends, 0, "right"), np.searchsorted(ends, len(codes), "right")
+        last, bounds = ends[lo:hi] - 1, np.r_[0, ends[lo:hi]]
+        bounds = bounds[bounds < len(codes)]
+        p = scorer.score(codes)
+        p[last] = 0
+        letters[u[lo : lo + len(bounds)]] += np.add.reduceat(p, bounds)
+        context = codes[last] & ~np.int64(SYMBOLS - 1)
+        end[u[lo:hi]] = 10 ** scorer.score(context | END)
+        stop[u[lo:hi]] = end[u[lo:hi]] + 10 ** scorer.score(context | space)
+        done[int(which[0])] += len(codes)
+    some = size[first[:-1]] > 1
+    chance = np.where(np.repeat(some, units), end / stop, end)
+    word = letters + np.log10(stop)
+    follows = np.ones(len(size), bool)
+    follows[first[:-1]] = False
+    at = np.flatnonzero(follows)
+    word[at] += np.log10(1 - chance[at - 1])
+    return word[np.repeat(some, units)], np.log10(chance[first[1:] - 1]), np.where(some, units, 0)
+
+
+def _scorer(tree, ends: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         t: Tree = tree.value
         key = (t.depth, len(t.log10), float(t.log10.sum()), tuple(t.alphabet))
         if key not in _scorers:  # its tables serve all groups of a worker
             _scorers.clear()
             _scorers[key] = Scorer(t)
-        scorer = _scorers[key]
         get = dict(zip(right.column("word").to_pylist(), right.column("total").to_pylist(), strict=True)).get
-        texts, known, base, tokens = [], [], [], []
+        total, distinct = left.column("tokens")[0].as_py() + ends, left.column("distinct")[0].as_py() + int(ends > 0)
+        texts, counts = [], []
         for raw in (raw for c in left.column("text").chunks for raw in raw_texts(c)):
             words = raw.lower().split()
-            c = np.fromiter((get(w, 0) for w in words), np.int64, len(words))
-            tokens.append(len(words) + 1)
-            known.append(int((c > 0).sum()))
-            base.append(float(np.log10(c + 0.1).sum()))
+            counts.append(np.fromiter((get(w, 0) for w in words), np.int64, len(words)))
             texts.append(b" ".join(words).decode().replace("\0", "\ufffd"))
-        score = np.zeros(len(texts))
-        for which, lengths, codes in batches_of(texts, scorer.classes, t.depth):
-            score[which] += np.add.reduceat(scorer.score(codes), np.r_[0, np.cumsum(lengths)[:-1]])
-        return pa.Table.from_arrays([left.column("doc_id"), left.column("held_out"), pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(score)], schema=_SCORES)
+        word, end, n = spelled(_scorers[key], texts, t.depth)
+        c, doc = np.concatenate(counts), np.repeat(np.arange(len(texts)), n)
+        v = max(distinct, 1)
+        each = np.log10(c + v * 10**word, where=c > 0, out=np.log10(v) + word)  # without a count, in logarithms: Q may be too small for a double
+        score = np.bincount(doc, each, len(texts)) + (np.log10(ends + v * 10**end) if ends else np.log10(v) + end) - (n + 1) * np.log10(total + v)
+        base = np.bincount(doc, np.log10(c + 0.1), len(texts)) + np.log10(ends + 0.1) - (n + 1) * np.log10(total + 0.1 * (distinct + 1))
+        known = np.bincount(doc, c > 0, len(texts)).astype(np.int64) + int(ends > 0)
+        return pa.Table.from_arrays([left.column("doc_id"), left.column("held_out"), pa.array(n + 1), pa.array(known), pa.array(np.full(len(texts), total)), pa.array(base), pa.array(score)], schema=_SCORES)
 
     return run
 
@@ -281,7 +329,7 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
 
     Learns from the rows where ``held_out`` is false.  A null text counts as empty: its only token is
     the end.  Repeated rows count and come back as often as they are there; null ids are kept.
-    Without any training text all counts are zero.  Other columns are ignored.
+    Without any training text all counts are zero and the tree's root is uniform.  Other columns are ignored.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -297,11 +345,6 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     asked = counted.select("grp", "word", "total")
     sums = counted.where("nr = 1").agg(F.count("*").alias("distinct"), F.coalesce(F.sum("total"), F.lit(0)).alias("tokens"))
     ends = own.where("NOT held_out").count()
-    got = dealt.groupBy("grp").cogroup(asked.groupBy("grp")).applyInArrow(_scorer(tree), "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base double, score double")
-    tokens, distinct = F.col("tokens") + F.lit(ends), F.col("distinct") + F.lit(int(ends > 0))
-    below = F.log10(tokens + 0.1 * (distinct + 1))
-    # one row of totals; both exchanges above are shared with it
-    return got.withColumn("one", F.lit(1)).join(F.broadcast(sums.withColumn("one", F.lit(1))), "one").select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.lit(int(ends > 0))).alias("n_known"), tokens.cast("long").alias("train_tokens"),
-        (F.col("base") + F.lit(float(np.log10(ends + 0.1))) - F.col("n_tokens") * below).alias("base_score"), "score",
-    )
+    # one row of totals, sent along with the texts; both exchanges above are shared with it
+    told = dealt.withColumn("one", F.lit(1)).join(F.broadcast(sums.withColumn("one", F.lit(1))), "one").drop("one")
+    return told.groupBy("grp").cogroup(asked.groupBy("grp")).applyInArrow(_scorer(tree, ends), _SCORES_SQL)
