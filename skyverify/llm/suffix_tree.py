@@ -21,6 +21,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -231,7 +232,8 @@ def fit(train: DataFrame, text_col: str = "text", depth: int = 5, p_min: float =
     texts = train.select(text_of(train, text_col).alias("text"))
     points = texts.mapInArrow(_point_counts, "point bigint, n bigint").groupBy("point").agg(F.sum("n").alias("n"))
     alphabet = [r["point"] for r in points.orderBy(F.desc("n"), "point").limit(SYMBOLS - 2).collect()]  # the alphabet's size is fixed
-    grams = cut(texts.mapInArrow(_gram_counts(alphabet, depth), "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n")))
+    # workers have merged equal codes, so they are exchanged without a second merge before it
+    grams = cut(texts.mapInArrow(_gram_counts(alphabet, depth), "code bigint, n bigint").repartition("code").groupBy("code").agg(F.sum("n").alias("n")))
     total = grams.agg(F.sum("n")).first()[0] or 0
     levels = F.explode(F.array(*[F.struct(F.lit(d).alias("d"), (F.col("code") % F.lit(SYMBOLS ** (d + 1))).alias("code")) for d in range(depth + 1)]))
     each = grams.select(levels.alias("g"), "n").groupBy("g.d", "g.code").agg(F.sum("n").alias("n")).withColumn("ctx", F.expr(f"code div {SYMBOLS}"))
@@ -267,9 +269,8 @@ def spelled(scorer: Scorer, texts: list[str], depth: int) -> tuple[np.ndarray, n
     A text is a run of units, each a word with the place after it; an empty text has one of no letters.
     After a unit the tree's chance of an end is P(end) / (P(end) + P(space)).
     """
-    sizes = [[len(w) + 1 for w in text.split(" ")] for text in texts]
-    units = np.array([len(x) for x in sizes])
-    size = np.fromiter((x for one in sizes for x in one), np.int64, int(units.sum()))
+    sizes = [np.array(list(map(len, text.split(" ")))) + 1 for text in texts]
+    units, size = np.array(list(map(len, sizes))), np.concatenate(sizes)
     first = np.r_[0, np.cumsum(units)]
     letters, stop, end = np.zeros(len(size)), np.ones(len(size)), np.ones(len(size))
     done: Counter = Counter()
@@ -310,7 +311,7 @@ def _scorer(tree, ends: int):
         texts, counts = [], []
         for raw in (raw for c in left.column("text").chunks for raw in raw_texts(c)):
             words = raw.lower().split()
-            counts.append(np.fromiter((get(w, 0) for w in words), np.int64, len(words)))
+            counts.append(np.fromiter(map(get, words, repeat(0)), np.int64, len(words)))
             texts.append(b" ".join(words).decode().replace("\0", "\ufffd"))
         word, end, n = spelled(_scorers[key], texts, t.depth)
         c, doc = np.concatenate(counts), np.repeat(np.arange(len(texts)), n)
@@ -338,12 +339,10 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = max(1, -(-size // GROUP_BYTES))
     dealt = own.withColumn("grp", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups))).repartition(groups, "grp")
-    words = dealt.mapInArrow(_word_counts, "grp bigint, word binary, n bigint")
-    # a word has at most a few rows for each group, however frequent it is; the first one stands for the word
-    w = Window.partitionBy("word")
-    counted = words.withColumns({"total": F.sum("n").over(w), "nr": F.row_number().over(w.orderBy("grp"))}).where("total > 0")
-    asked = counted.select("grp", "word", "total")
-    sums = counted.where("nr = 1").agg(F.count("*").alias("distinct"), F.coalesce(F.sum("total"), F.lit(0)).alias("tokens"))
+    words = dealt.mapInArrow(_word_counts, "grp bigint, word binary, n bigint").repartition("word")
+    # a word has at most a few rows for each group, however frequent it is
+    asked = words.withColumn("total", F.sum("n").over(Window.partitionBy("word"))).where("total > 0").select("grp", "word", "total")
+    sums = words.where("n > 0").groupBy("word").agg(F.sum("n").alias("n")).agg(F.count("*").alias("distinct"), F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"))
     ends = own.where("NOT held_out").count()
     # one row of totals, sent along with the texts; both exchanges above are shared with it
     told = dealt.withColumn("one", F.lit(1)).join(F.broadcast(sums.withColumn("one", F.lit(1))), "one").drop("one")

@@ -204,6 +204,20 @@ def test_suffix_tree(docs, rows):
     assert all(np.allclose(sorted(mine[k]), sorted(expect[k]), atol=2e-3) for k in mine)
 
 
+def test_texts_in_parts_spell_the_same(monkeypatch):
+    rng = random.Random(3)
+    texts = [prose(rng, n) for n in (1, 40, 0, 7, 300, 90, 2)] + ["", "x" * 150]
+    alphabet = sorted(set(map(ord, "".join(texts))))
+    probs = np.random.default_rng(1).dirichlet(np.ones(64), 3)
+    none = np.zeros(0, np.int64)
+    tree = suffix_tree.Tree(alphabet, 3, [none, np.array([5, 9]), none, none], [none, np.array([1, 2]), none, none], np.log10(probs))
+    want = suffix_tree.spelled(suffix_tree.Scorer(tree), texts, 3)
+    for size in (1, 5, 64, 1000):
+        monkeypatch.setattr(suffix_tree, "CHUNK", size)
+        for a, b in zip(suffix_tree.spelled(suffix_tree.Scorer(tree), texts, 3), want, strict=True):
+            assert np.allclose(a, b)
+
+
 def test_licenses(spark):
     rng = random.Random(2)
     files = [
