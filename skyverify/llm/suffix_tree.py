@@ -37,7 +37,7 @@ OUTSIDE = 0x110000 - (SYMBOLS - 2)
 #: Text bytes of a group that is scored at once.
 GROUP_BYTES = 10_000_000
 #: Symbols and distinct n-grams that a worker handles at once.
-CHUNK, TABLE, WORDS = 400_000, 1_500_000, 200_000
+CHUNK, TABLE, WORDS = 400_000, 1_000_000, 200_000
 _WORDS = pa.schema([("grp", pa.int64()), ("word", pa.binary()), ("n", pa.int64())])
 _SCORES = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 _SCORES_SQL = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
@@ -206,19 +206,24 @@ def _gram_counts(alphabet: list[int], depth: int):
         classes = Tree(alphabet, depth, [], [], np.zeros(0)).classes().astype(np.uint8)
         waiting: list[tuple[np.ndarray, np.ndarray]] = []
 
-        def merged() -> pa.RecordBatch:
+        def merge() -> None:
             codes, where = np.unique(np.concatenate([c for c, _ in waiting]), return_inverse=True)
-            counts = np.bincount(where, np.concatenate([n for _, n in waiting]), len(codes)).astype(np.int64)
-            waiting.clear()
+            waiting[:] = [(codes, np.bincount(where, np.concatenate([n for _, n in waiting]), len(codes)).astype(np.int64))]
+
+        def out() -> pa.RecordBatch:
+            codes, counts = waiting.pop()
             return pa.RecordBatch.from_arrays([pa.array(codes), pa.array(counts)], names=["code", "n"])
 
         for rows in batches:
             for _, _, got in batches_of([normalised(raw) for raw in raw_texts(rows.column(0))], classes, depth):
                 waiting.append(np.unique(got, return_counts=True))
-                if sum(len(c) for c, _ in waiting) >= TABLE:
-                    yield merged()
+                if sum(len(c) for c, _ in waiting) >= 2 * TABLE:
+                    merge()
+                    if len(waiting[0][0]) >= TABLE:
+                        yield out()
         if waiting:
-            yield merged()
+            merge()
+            yield out()
 
     return run
 
@@ -232,8 +237,7 @@ def fit(train: DataFrame, text_col: str = "text", depth: int = 5, p_min: float =
     texts = train.select(text_of(train, text_col).alias("text"))
     points = texts.mapInArrow(_point_counts, "point bigint, n bigint").groupBy("point").agg(F.sum("n").alias("n"))
     alphabet = [r["point"] for r in points.orderBy(F.desc("n"), "point").limit(SYMBOLS - 2).collect()]  # the alphabet's size is fixed
-    # workers have merged equal codes, so they are exchanged without a second merge before it
-    grams = cut(texts.mapInArrow(_gram_counts(alphabet, depth), "code bigint, n bigint").repartition("code").groupBy("code").agg(F.sum("n").alias("n")))
+    grams = cut(texts.mapInArrow(_gram_counts(alphabet, depth), "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n")))
     total = grams.agg(F.sum("n")).first()[0] or 0
     levels = F.explode(F.array(*[F.struct(F.lit(d).alias("d"), (F.col("code") % F.lit(SYMBOLS ** (d + 1))).alias("code")) for d in range(depth + 1)]))
     each = grams.select(levels.alias("g"), "n").groupBy("g.d", "g.code").agg(F.sum("n").alias("n")).withColumn("ctx", F.expr(f"code div {SYMBOLS}"))
@@ -342,7 +346,9 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     words = dealt.mapInArrow(_word_counts, "grp bigint, word binary, n bigint").repartition("word")
     # a word has at most a few rows for each group, however frequent it is
     asked = words.withColumn("total", F.sum("n").over(Window.partitionBy("word"))).where("total > 0").select("grp", "word", "total")
-    sums = words.where("n > 0").groupBy("word").agg(F.sum("n").alias("n")).agg(F.count("*").alias("distinct"), F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"))
+    # the condition on the group makes this read the same columns of the same exchange
+    once = words.groupBy("word").agg(F.sum("n").alias("n"), F.min("grp").alias("grp")).where("n > 0 AND grp >= 0")
+    sums = once.agg(F.count("*").alias("distinct"), F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"))
     ends = own.where("NOT held_out").count()
     # one row of totals, sent along with the texts; both exchanges above are shared with it
     told = dealt.withColumn("one", F.lit(1)).join(F.broadcast(sums.withColumn("one", F.lit(1))), "one").drop("one")
