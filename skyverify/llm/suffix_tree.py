@@ -7,8 +7,8 @@ it diverges enough from what follows its longest retained suffix.  A state's nex
 is smoothed with that suffix's.  Each position is scored in the state of its longest retained suffix.
 
 The tree spells tokens: with the states before its characters it gives each word, and the end, a
-probability Q given what came before.  A token's probability is (c + V * Q) / (N + V), where c is its
-count in training texts, V the number of distinct tokens and N that of all.  So the part of the model
+probability Q given what came before.  A token's probability is ``spelling`` * Q and the rest of its
+share c / N in training texts, where c is its count and N that of all tokens.  So the part of the model
 that is broadcast is bounded, and the word counts grow with the corpus, exactly and without a limit.
 
 Counts are of all training texts: n-grams of the full depth are counted by partition and summed in
@@ -303,7 +303,7 @@ def spelled(scorer: Scorer, texts: list[str], depth: int) -> tuple[np.ndarray, n
     return word[np.repeat(some, units)], np.log10(chance[first[1:] - 1]), np.where(some, units, 0)
 
 
-def _scorer(tree, ends: int):
+def _scorer(tree, ends: int, spelling: float):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         t: Tree = tree.value
         key = (t.depth, len(t.log10), float(t.log10.sum()), tuple(t.alphabet))
@@ -319,9 +319,9 @@ def _scorer(tree, ends: int):
             texts.append(b" ".join(words).decode().replace("\0", "\ufffd"))
         word, end, n = spelled(_scorers[key], texts, t.depth)
         c, doc = np.concatenate(counts), np.repeat(np.arange(len(texts)), n)
-        v = max(distinct, 1)
-        each = np.log10(c + v * 10**word, where=c > 0, out=np.log10(v) + word)  # without a count, in logarithms: Q may be too small for a double
-        score = np.bincount(doc, each, len(texts)) + (np.log10(ends + v * 10**end) if ends else np.log10(v) + end) - (n + 1) * np.log10(total + v)
+        q = spelling if total else 1.0
+        each = np.log10((1 - q) / max(total, 1) * c + q * 10**word, where=c > 0, out=np.log10(q) + word)  # without a count, in logarithms: Q may be too small for a double
+        score = np.bincount(doc, each, len(texts)) + (np.log10((1 - q) / total * ends + q * 10**end) if ends else np.log10(q) + end)
         base = np.bincount(doc, np.log10(c + 0.1), len(texts)) + np.log10(ends + 0.1) - (n + 1) * np.log10(total + 0.1 * (distinct + 1))
         known = np.bincount(doc, c > 0, len(texts)).astype(np.int64) + int(ends > 0)
         return pa.Table.from_arrays([left.column("doc_id"), left.column("held_out"), pa.array(n + 1), pa.array(known), pa.array(np.full(len(texts), total)), pa.array(base), pa.array(score)], schema=_SCORES)
@@ -329,12 +329,13 @@ def _scorer(tree, ends: int):
     return run
 
 
-def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", depth: int = 5, p_min: float = 5e-6, gain: float = 20.0) -> DataFrame:
+def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", depth: int = 5, p_min: float = 5e-6, gain: float = 20.0, spelling: float = 0.8) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every row.
 
     Learns from the rows where ``held_out`` is false.  A null text counts as empty: its only token is
     the end.  Repeated rows count and come back as often as they are there; null ids are kept.
-    Without any training text all counts are zero and the tree's root is uniform.  Other columns are ignored.
+    Without any training text all counts are zero, the tree's root is uniform and alone decides.
+    ``spelling``, above 0 and below 1, is the tree's weight.  Other columns are ignored.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -352,4 +353,4 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     ends = own.where("NOT held_out").count()
     # one row of totals, sent along with the texts; both exchanges above are shared with it
     told = dealt.withColumn("one", F.lit(1)).join(F.broadcast(sums.withColumn("one", F.lit(1))), "one").drop("one")
-    return told.groupBy("grp").cogroup(asked.groupBy("grp")).applyInArrow(_scorer(tree, ends), _SCORES_SQL)
+    return told.groupBy("grp").cogroup(asked.groupBy("grp")).applyInArrow(_scorer(tree, ends, spelling), _SCORES_SQL)

@@ -193,10 +193,9 @@ def test_suffix_tree(docs, rows):
             lq += np.log10(end + space)
             more = 1 - end / (end + space)
             past.append(sym[32])
-            total += np.log10(counts[key] + v * 10**lq) if counts[key] else np.log10(v) + lq
-            total -= np.log10(n + v)
+            total += np.log10(0.2 * counts[key] / n + 0.8 * 10**lq) if counts[key] else np.log10(0.8) + lq
         last = q(past, 0) if more is None else 1 - more
-        expect[r[0]].append(round(total + np.log10((len(train) + v * last) / (n + v)), 4))
+        expect[r[0]].append(round(total + np.log10(0.2 * len(train) / n + 0.8 * last), 4))
     mine = defaultdict(list)
     for g in got:
         mine[g.doc_id].append(round(g.score, 4))
