@@ -11,8 +11,8 @@ probability Q given what came before.  A token's probability is ``spelling`` * Q
 share c / N in training texts, where c is its count and N that of all tokens.  So the part of the model
 that is broadcast is bounded, and the word counts grow with the corpus, exactly and without a limit.
 
-Counts are of all training texts: n-grams of the full depth are counted by partition and summed in
-the cluster, and shorter ones follow from them.  Texts are dealt into groups of bounded bytes; each
+Counts are of all training texts: n-grams are counted by partition and summed in the cluster, those
+of one context in one place.  Texts are dealt into groups of bounded bytes; each
 group asks for its words and gets the counts back, so neither words nor counts ever meet in one place.
 """
 
@@ -192,27 +192,51 @@ def grow(rows: list[np.ndarray], alphabet: list[int], depth: int, p_min: float =
 
 
 def _point_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(0x110000, np.int64)
+    """How often each code point occurs; point -1 counts texts, so the sum of all counts places."""
+    total, texts, waiting, size = np.zeros(0x110000, np.int64), 0, [], 0
+
+    def count() -> None:
+        n = np.bincount(np.frombuffer("".join(waiting).encode("utf-32-le"), "<u4"))
+        total[: len(n)] += n
+        waiting.clear()
+
     for rows in batches:
         for raw in raw_texts(rows.column(0)):
-            got, n = np.unique(np.frombuffer(normalised(raw).encode("utf-32-le"), "<u4"), return_counts=True)
-            total[got] += n
+            waiting.append(normalised(raw))
+            texts += 1
+            size += len(waiting[-1])
+            if size >= CHUNK:
+                count()
+                size = 0
+    count()
     at = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["point", "n"])
+    yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, at]), pa.array(np.r_[texts, total[at]])], names=["point", "n"])
+
+
+def summed(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each distinct code with the sum of its counts."""
+    order = np.argsort(codes, kind="stable")
+    codes = codes[order]
+    first = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])
+    return codes[first], np.add.reduceat(counts[order], first)
 
 
 def _gram_counts(alphabet: list[int], depth: int):
+    """Counts of n-grams of every depth: shorter ones are sums of a worker's table of longer ones."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes = Tree(alphabet, depth, [], [], np.zeros(0)).classes().astype(np.uint8)
         waiting: list[tuple[np.ndarray, np.ndarray]] = []
 
         def merge() -> None:
-            codes, where = np.unique(np.concatenate([c for c, _ in waiting]), return_inverse=True)
-            waiting[:] = [(codes, np.bincount(where, np.concatenate([n for _, n in waiting]), len(codes)).astype(np.int64))]
+            waiting[:] = [summed(np.concatenate([c for c, _ in waiting]), np.concatenate([n for _, n in waiting]))]
 
-        def out() -> pa.RecordBatch:
+        def out() -> Iterator[pa.RecordBatch]:
             codes, counts = waiting.pop()
-            return pa.RecordBatch.from_arrays([pa.array(codes), pa.array(counts)], names=["code", "n"])
+            for d in range(depth, -1, -1):
+                if d < depth:
+                    codes, counts = summed(codes % SYMBOLS ** (d + 1), counts)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(codes), d, np.int32)), pa.array(codes // SYMBOLS), pa.array(codes), pa.array(counts)], names=["d", "ctx", "code", "n"])
 
         for rows in batches:
             for _, _, got in batches_of([normalised(raw) for raw in raw_texts(rows.column(0))], classes, depth):
@@ -220,10 +244,10 @@ def _gram_counts(alphabet: list[int], depth: int):
                 if sum(len(c) for c, _ in waiting) >= 2 * TABLE:
                     merge()
                     if len(waiting[0][0]) >= TABLE:
-                        yield out()
+                        yield from out()
         if waiting:
             merge()
-            yield out()
+            yield from out()
 
     return run
 
@@ -235,13 +259,12 @@ def fit(train: DataFrame, text_col: str = "text", depth: int = 5, p_min: float =
     """
     small_batches(train.sparkSession)
     texts = train.select(text_of(train, text_col).alias("text"))
-    points = texts.mapInArrow(_point_counts, "point bigint, n bigint").groupBy("point").agg(F.sum("n").alias("n"))
-    alphabet = [r["point"] for r in points.orderBy(F.desc("n"), "point").limit(SYMBOLS - 2).collect()]  # the alphabet's size is fixed
-    grams = cut(texts.mapInArrow(_gram_counts(alphabet, depth), "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n")))
-    total = grams.agg(F.sum("n")).first()[0] or 0
-    levels = F.explode(F.array(*[F.struct(F.lit(d).alias("d"), (F.col("code") % F.lit(SYMBOLS ** (d + 1))).alias("code")) for d in range(depth + 1)]))
-    each = grams.select(levels.alias("g"), "n").groupBy("g.d", "g.code").agg(F.sum("n").alias("n")).withColumn("ctx", F.expr(f"code div {SYMBOLS}"))
-    wide = each.groupBy("d", "ctx").agg(F.sum("n").alias("size"), F.collect_list(F.struct("code", "n")).alias("next"))  # at most 64 next symbols
+    points = cut(texts.mapInArrow(_point_counts, "point bigint, n bigint").groupBy("point").agg(F.sum("n").alias("n")))  # at most as many as Unicode has
+    alphabet = [r["point"] for r in points.where("point >= 0").orderBy(F.desc("n"), "point").limit(SYMBOLS - 2).collect()]  # the alphabet's size is fixed
+    total = points.agg(F.sum("n")).first()[0] or 0
+    grams = texts.mapInArrow(_gram_counts(alphabet, depth), "d int, ctx bigint, code bigint, n bigint").repartition("d", "ctx")
+    # both sums keep to the partitions of that one exchange
+    wide = grams.groupBy("d", "ctx", "code").agg(F.sum("n").alias("n")).groupBy("d", "ctx").agg(F.sum("n").alias("size"), F.collect_list(F.struct("code", "n")).alias("next"))  # at most 64 next symbols
     got: list[list] = [[] for _ in range(depth + 1)]
     for r in wide.where(F.col("size") >= p_min * total).select("d", "next").toLocalIterator():
         got[r["d"]] += [(x["code"], x["n"]) for x in r["next"]]
