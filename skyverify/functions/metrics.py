@@ -72,6 +72,11 @@ def resolve_function(path: str) -> Callable:
     return getattr(found, name)
 
 
+def is_registered(function: str | Callable) -> bool:
+    """Whether ``aggregate`` takes the function from METRICS."""
+    return isinstance(function, str) and function.rpartition(".")[2] in METRICS
+
+
 def aggregate(function: str | Callable, a: Column, b: Column, skipna: bool = True) -> Column:
     """A registered metric by name, or a function of two numpy arrays that gives a number.
 
@@ -79,9 +84,8 @@ def aggregate(function: str | Callable, a: Column, b: Column, skipna: bool = Tru
     """
     paired = a.isNotNull() & b.isNotNull()
     a, b = F.when(paired, a.cast("double")), F.when(paired, b.cast("double"))
-    name = function.rpartition(".")[2] if isinstance(function, str) else None
-    if isinstance(function, str) and name in METRICS:
-        out = METRICS[name](a, b)
+    if is_registered(function):
+        out = METRICS[function.rpartition(".")[2]](a, b)
     else:
         fn = resolve_function(function) if isinstance(function, str) else function
 

@@ -5,19 +5,23 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.metrics import aggregate
+from ..functions.metrics import aggregate, is_registered
 from ..model import Dataset
 
 
 def pairs(ds: Dataset, ref: Dataset, variables: Iterable[str]) -> DataFrame:
     """Cells that both have, as ``v__a`` and ``v__b`` for each variable."""
-    if set(ds.keys) != set(ref.keys):
-        raise ValueError(f"keys differ: {list(ds.keys)} and {list(ref.keys)}")
-    keys, names = list(ds.keys), list(variables)
-    a = ds.df.select(*keys, *[F.col(f"`{v}`").alias(f"{v}__a") for v in names])
+    return _paired(ds.df, ds.keys, ref, variables)
+
+
+def _paired(df: DataFrame, keys: Iterable[str], ref: Dataset, variables: Iterable[str], also: Iterable[str] = ()) -> DataFrame:
+    if set(keys) != set(ref.keys):
+        raise ValueError(f"keys differ: {list(keys)} and {list(ref.keys)}")
+    keys, names = list(keys), list(variables)
+    a = df.select(*also, *keys, *[F.col(f"`{v}`").alias(f"{v}__a") for v in names])
     b = ref.df.select(*keys, *[F.col(f"`{v}`").alias(f"{v}__b") for v in names])
     return a.join(b, keys, "inner")
 
@@ -40,15 +44,22 @@ class Metric:
         self.swapped = list(inputs)[0] != predicted[0]
         self.dim = None if dim is None else [dim] if isinstance(dim, str) else list(dim)
 
-    def compute(self, ds: Dataset, variables: list[str] | None = None) -> DataFrame:
-        names = variables or sorted(set(ds.variables) & set(self.ref.variables))
-        dims = ["lead_s" if d == "lead_time" else d for d in self.dim or ds.keys]
-        rest = [k for k in ds.keys if k not in dims]
+    def rest(self, keys: Iterable[str]) -> list[str]:
+        """The keys that remain."""
+        dims = ["lead_s" if d == "lead_time" else d for d in self.dim or keys]
+        return [k for k in keys if k not in dims]
+
+    def columns(self, names: Iterable[str]) -> list[Column]:
+        """The metric of each variable over rows of ``pairs``."""
         made = []
         for v in names:
             a, b = F.col(f"`{v}__a`"), F.col(f"`{v}__b`")
             made.append(aggregate(self.function, *((b, a) if self.swapped else (a, b)), self.skipna).alias(v))
-        return pairs(ds, self.ref, names).groupBy(*rest).agg(*made)
+        return made
+
+    def compute(self, ds: Dataset, variables: list[str] | None = None) -> DataFrame:
+        names = variables or sorted(set(ds.variables) & set(self.ref.variables))
+        return pairs(ds, self.ref, names).groupBy(*self.rest(ds.keys)).agg(*self.columns(names))
 
 
 def verify(forecast: Dataset, observation: Dataset, function: str | Callable, inputs: dict[str, str] | None = None, dim: str | list[str] | None = None, skipna: bool = True) -> DataFrame:
@@ -66,10 +77,26 @@ def stacked_metrics(datasets: dict[str, Dataset], reference: str, metrics: dict[
     names, ref = common_variables(datasets.values()), datasets[reference]
     if not names:
         raise ValueError("no variable is in all datasets")
+    models = {model: d for model, d in datasets.items() if model != reference}
+    if not models or not metrics:
+        raise ValueError("no metric was computed")
+    # all datasets meet the reference in one join, and metrics over the same keys are one aggregate
+    for d in models.values():
+        if set(d.keys) != set(ref.keys):
+            raise ValueError(f"keys differ: {list(d.keys)} and {list(ref.keys)}")
+    keys = list(ref.keys)
+    every = reduce(DataFrame.union, [d.df.select(F.lit(model).alias("model"), *keys, *[F.col(f"`{v}`") for v in names]) for model, d in models.items()])
+    both = _paired(every, keys, ref, names, ["model"])
+    together: dict[tuple[str, ...], list[Metric]] = {}
     made = []
     for metric, spec in metrics.items():
         m = Metric(metric, spec["function"], ref, spec["inputs"], spec.get("dim"), spec.get("skipna", True))
-        made += [m.compute(d, names).select(F.lit(model).alias("model"), F.lit(metric).alias("metric"), "*") for model, d in datasets.items() if model != reference]
-    if not made:
-        raise ValueError("no metric was computed")
+        rest = m.rest(keys)
+        if is_registered(m.function):
+            together.setdefault(tuple(rest), []).append(m)
+        else:  # functions of arrays don't mix with built-in aggregates
+            made.append(both.groupBy("model", *rest).agg(*m.columns(names)).select("model", F.lit(metric).alias("metric"), *rest, *[F.col(f"`{v}`") for v in names]))
+    for rest, some in together.items():
+        rows = F.array(*[F.struct(F.lit(m.name).alias("metric"), *m.columns(names)) for m in some])
+        made.append(both.groupBy("model", *rest).agg(rows.alias("_rows")).select("model", *rest, F.inline("_rows")).select("model", "metric", *rest, *[F.col(f"`{v}`") for v in names]))
     return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), made)
