@@ -52,6 +52,22 @@ def drop_cut(df: DataFrame) -> None:
     where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
 
 
+#: A key that holds at least one in so many rows is frequent, so there are no more frequent keys than this.
+FREQUENT = 1000
+
+
+def join_counted(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int) -> DataFrame:
+    """``rows`` joined to ``groups``, which has one row for each key with its number of rows in ``size``.
+
+    Rows of frequent keys stay where they are and get their group by broadcast, of at most FREQUENT
+    rows; all others are exchanged by key.  ``total`` is the number of all rows.
+    """
+    often = F.col(size) * F.lit(FREQUENT) >= F.lit(total)
+    sent = F.broadcast(groups.where(often))
+    rest = rows.join(F.broadcast(groups.where(often).select(*keys)), keys, "left_anti")
+    return rows.join(sent, keys).unionByName(rest.join(groups.where(~often), keys))
+
+
 def partitions(spark: SparkSession) -> int:
     """Partitions for an exchange whose partition numbers go into names."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, cut, drop_cut, partitions, raw_texts, small_batches, text_of
+from .common import batch, cut, drop_cut, join_counted, partitions, raw_texts, small_batches, text_of
 
 #: A partition's number stands above so many bits of a name.
 _RANK_BITS = 40
@@ -73,8 +73,9 @@ def name_texts(rows: DataFrame, block_bytes: int = 8192) -> DataFrame:
             .groupBy("row_key", F.expr("pos div 2").alias("pos"), F.expr("(blocks + 1) div 2").alias("blocks"))
             .agg(F.max(F.when(F.col("pos") % 2 == 0, F.col("name"))).alias("a"), F.coalesce(F.max(F.when(F.col("pos") % 2 == 1, F.col("name"))), F.lit(-1)).alias("b"))
         )
-        names = cut(pairs.select("a", "b").distinct().repartition(n, "a", "b").sortWithinPartitions("a", "b").withColumn("name", F.monotonically_increasing_id()))
-        now = cut(pairs.join(names, ["a", "b"]).select("row_key", "pos", "blocks", "name"))
+        names = cut(pairs.groupBy("a", "b").agg(F.count("*").alias("n")).repartition(n, "a", "b").sortWithinPartitions("a", "b").withColumn("name", F.monotonically_increasing_id()))
+        total = names.agg(F.sum("n")).first()[0] or 0
+        now = cut(join_counted(pairs, names, ["a", "b"], "n", total).select("row_key", "pos", "blocks", "name"))
         drop_cut(pairs)
         drop_cut(names)
         done = done.unionByName(now.where("blocks = 1").select("row_key", F.lit(level).alias("level"), "name"))
@@ -96,8 +97,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     own = own.withColumn("row_key", F.unhex(F.sha2(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "text_sha256"), 256)))
     rows = cut(own.select("row_key", "doc_id", "text_sha256", F.monotonically_increasing_id().alias("nr")))
     known = cut(rows.join(name_texts(own, block_bytes), "row_key"))
-    groups = known.groupBy("level", "name").agg(F.max(F.struct("doc_id", "nr")).alias("stays"), F.count("*").alias("group_size"))
-    return known.join(groups, ["level", "name"]).select("doc_id", F.col("stays.doc_id").alias("keep_id"), "group_size", (F.col("nr") == F.col("stays.nr")).alias("kept"), "text_sha256")
+    groups = cut(known.groupBy("level", "name").agg(F.max(F.struct("doc_id", "nr")).alias("stays"), F.count("*").alias("group_size")))
+    total = groups.agg(F.sum("group_size")).first()[0] or 0
+    return join_counted(known, groups, ["level", "name"], "group_size", total).select("doc_id", F.col("stays.doc_id").alias("keep_id"), "group_size", (F.col("nr") == F.col("stays.nr")).alias("kept"), "text_sha256")
 
 
 SQL = """

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from skyverify.llm import bpe, components, exact_dedup, langid, licenses, packing, quality, sharding, simhash, suffix_tree, warc
+from skyverify.llm import bpe, common, components, exact_dedup, langid, licenses, packing, quality, sharding, simhash, suffix_tree, warc
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 SCHEMA = "doc_id bigint, text string, lang string, source string, fp string, row_key string, name int, part int"
@@ -296,7 +296,9 @@ def test_bpe(docs, rows):
     assert v.decode(np.array([v.of_byte[0xC3]], "<u4").tobytes()) == "�"
 
 
-def test_exact_dedup(docs, rows):
+@pytest.mark.parametrize("frequent", [1000, 8])
+def test_exact_dedup(docs, rows, frequent, monkeypatch):
+    monkeypatch.setattr(common, "FREQUENT", frequent)
     groups = defaultdict(list)
     for r in rows:
         groups[r[1] or ""].append(-1 if r[0] is None else r[0])
