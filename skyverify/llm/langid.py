@@ -6,8 +6,12 @@ kernel, and one-versus-rest ridge regression is fitted in it.  As the kernel is
 vectors, map and weights multiply into one matrix with a row for each n-gram, and a batch of texts
 is scored by one sparse product.
 
-Letters outside the most frequent of the training sample share a class, and so do all characters
-that aren't letters; within these 64 classes n-grams are exact, so every size is fixed.
+N-grams are of lower-case code points, where all characters that aren't letters are one; the matrix
+has those of the landmarks, so it grows with the fixed sample only, whatever the scripts.
+
+One-versus-rest scores sum to a constant, so the best one says nothing about texts of no learned
+language.  That is judged by the share of a text's 3-grams that are common in the language it would
+get.  The limit of each language is calibrated on texts of the sample that were held out.
 """
 
 from __future__ import annotations
@@ -22,8 +26,12 @@ from pyspark.sql import functions as F
 
 from .common import small_batches
 
-CLASSES = 64
-GRAMS = CLASSES + CLASSES**2 + CLASSES**3
+#: Bits of a code point, so an n-gram is one number.
+POINT = 21
+#: A 3-gram is common in a language if it is in so many texts of the sample: a share, and a number.
+COMMON, TIMES = 0.02, 2
+#: The share of held-out texts that may be under a language's level, the margin under it, and the standard deviations for texts with few 3-grams.
+UNDER, MARGIN, DEVIATIONS = 0.02, 0.12, 3.0
 _letters: list[np.ndarray] = []
 
 
@@ -39,37 +47,70 @@ def points(text: str) -> np.ndarray:
 
 
 class Features:
-    """Distinct n-grams of texts, as sorted numbers below GRAMS."""
+    """Distinct n-grams of texts, as sorted numbers; letters outside ``alphabet``, if there is one, are all the same."""
 
-    def __init__(self, alphabet: list[int]):
-        self.classes = letters().astype(np.int32)  # 0 no letter, 1 another letter
-        self.classes[alphabet] = np.arange(2, 2 + len(alphabet))
-        self.seen = np.zeros(GRAMS, bool)
+    def __init__(self, alphabet: list[int] | None = None):
+        self.classes = np.where(letters(), np.arange(2, 2 + len(letters())), 0)
+        if alphabet is not None:
+            self.classes[letters()] = 1
+            self.classes[alphabet] = np.arange(2, 2 + len(alphabet))
 
     def __call__(self, text: str) -> np.ndarray:
         c = self.classes[points(text)]
-        two = c[:-1] * CLASSES + c[1:]
-        self.seen[c] = True
-        self.seen[two + CLASSES] = True
-        self.seen[two[:-1] * CLASSES + c[2:] + (CLASSES + CLASSES**2)] = True
-        out = np.flatnonzero(self.seen)
-        self.seen[out] = False
-        return out
+        two = c[:-1] << POINT | c[1:] | 1 << 3 * POINT - 1
+        three = c[:-2] << 2 * POINT | c[1:-1] << POINT | c[2:]
+        return np.unique(np.concatenate([c, two, -1 - three]))
+
+
+def threes(grams: np.ndarray) -> np.ndarray:
+    """The 3-grams with a letter among ``grams``."""
+    return grams[grams < -1]
 
 
 @dataclass
 class Model:
     langs: list[str]
-    alphabet: list[int]
-    weights: np.ndarray  # [n-gram, language]
+    grams: np.ndarray  # sorted
+    weights: np.ndarray  # [n-gram, language]; the last row is for all others
     bias: np.ndarray
+    common: list[np.ndarray]  # sorted 3-grams of each language
+    level: np.ndarray  # share of common 3-grams that clean texts of each language have
 
     def scores(self, grams: list[np.ndarray]) -> np.ndarray:
         """[text, language] of texts that all have an n-gram: the sparse presence matrix times the weights."""
         n = np.array([len(g) for g in grams])
-        sums = np.add.reduceat(self.weights[np.concatenate(grams)], np.r_[0, np.cumsum(n)[:-1]], axis=0)
+        sums = np.add.reduceat(self.weights[_places(self.grams, np.concatenate(grams))], np.r_[0, np.cumsum(n)[:-1]], axis=0)
         return sums / np.sqrt(n)[:, None] + self.bias
 
+    def fits(self, grams: np.ndarray, lang: int) -> bool:
+        """Whether a text has as many common 3-grams of a language as its texts have."""
+        n, level = len(three := threes(grams)), self.level[lang]
+        least = level - MARGIN - DEVIATIONS * (level * (1 - level) / max(n, 1)) ** 0.5
+        return not n or _share(three, self.common[lang]) >= least
+
+
+def _places(table: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Where sorted ``table`` has each value; its length for those that it lacks."""
+    at = np.searchsorted(table, values)
+    at[at == len(table)] = 0
+    return np.where(table[at] == values, at, len(table)) if len(table) else at
+
+
+def _share(three: np.ndarray, common: np.ndarray) -> float:
+    return float((_places(common, three) < len(common)).mean())
+
+
+def _common(three: list[np.ndarray]) -> np.ndarray:
+    values, times = np.unique(np.concatenate(three), return_counts=True)
+    return values[times >= max(min(TIMES, len(three)), COMMON * len(three))]
+
+
+def calibrated(three: list[np.ndarray]) -> tuple[np.ndarray, float]:
+    """Common 3-grams of a language's texts, and the level that all but UNDER of held-out texts reach; of fewer than two texts none."""
+    parts = min(4, len(three))
+    shares = [_share(x, common) for k in range(parts) if parts > 1 for common in [_common([y for i, y in enumerate(three) if i % parts != k])] for x in three[k::parts] if len(x)]
+    return _common(three), float(np.quantile(shares, UNDER)) if shares else 0.0
+
 
 def fit_model(texts: list[str], langs: list[str], landmarks: int = 64, ridge: float = 1e-2) -> Model | None:
     """Fit on texts that have letters; ``landmarks`` of each language, the first ones, span the map."""
@@ -77,20 +118,13 @@ def fit_model(texts: list[str], langs: list[str], landmarks: int = 64, ridge: fl
     if not pairs:
         return None
     names = sorted({x for _, x in pairs})
-    total = np.zeros(0x110000, np.int64)
-    for t, _ in pairs:
-        p = points(t)
-        np.add.at(total, p[letters()[p]], 1)
-    alphabet = [int(c) for c in np.argsort(-total, kind="stable")[: CLASSES - 2] if total[c]]
-    grams = [*map(Features(alphabet), (t for t, _ in pairs))]
+    grams = [*map(Features(), (t for t, _ in pairs))]
     marks = [g for x in names for g in [g for g, (_, y) in zip(grams, pairs, strict=True) if y == x][:landmarks]]
     known = np.unique(np.concatenate(marks))
-    column = np.full(GRAMS, -1)
-    column[known] = np.arange(len(known))
     marked = np.zeros((len(marks), len(known)), np.float32)
     for row, g in zip(marked, marks, strict=True):
-        row[column[g]] = len(g) ** -0.5
-    kernel = np.stack([marked[:, (k := column[g])[k >= 0]].sum(axis=1) * len(g) ** -0.5 for g in grams]).astype(float)
+        row[_places(known, g)] = len(g) ** -0.5
+    kernel = np.stack([marked[:, (k := _places(known, g))[k < len(known)]].sum(axis=1) * len(g) ** -0.5 for g in grams]).astype(float)
     value, vector = np.linalg.eigh((marked @ marked.T).astype(float))
     use = value > 1e-6 * value[-1]
     root = vector[:, use] / np.sqrt(value[use])
@@ -102,9 +136,10 @@ def fit_model(texts: list[str], langs: list[str], landmarks: int = 64, ridge: fl
     center, middle = weight @ mapped, weight @ target
     x, y = (mapped - center) * np.sqrt(weight)[:, None], (target - middle) * np.sqrt(weight)[:, None]
     solved = np.linalg.solve(x.T @ x + ridge / len(pairs) * np.eye(x.shape[1]), x.T @ y)
-    table = np.zeros((GRAMS, len(names)), np.float32)
-    table[known] = marked.T @ (root @ solved)
-    return Model(names, alphabet, table, middle - center @ solved)
+    table = np.zeros((len(known) + 1, len(names)), np.float32)
+    table[:-1] = marked.T @ (root @ solved)
+    common, level = zip(*(calibrated([threes(g) for g, (_, y) in zip(grams, pairs, strict=True) if y == x]) for x in names), strict=True)
+    return Model(names, known, table, middle - center @ solved, list(common), np.array(level))
 
 
 def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", per_lang: int = 400, landmarks: int = 64, seed: int = 3) -> Model | None:
@@ -125,24 +160,27 @@ def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", per_la
 
 
 def prediction(text: Column, model: Model | None, spark: SparkSession) -> Column:
-    """A struct ``lang_pred, score`` for each text; see ``predict``."""
+    """A struct ``lang_pred, score, known`` for each text; see ``predict`` and ``keep_known``."""
     shared = spark.sparkContext.broadcast(model)  # of fixed size for each language
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         m: Model | None = shared.value
-        features = Features(m.alphabet) if m else None
+        features = Features()
         for texts in batches:
             texts = list(texts)
             pred, score = np.full(len(texts), "und", object), np.zeros(len(texts))
+            known = np.zeros(len(texts), bool)
             some = [i for i, t in enumerate(texts) if t and m and letters()[points(t)].any()]
             for at in range(0, len(some), 256):
                 part = some[at : at + 256]
-                f = m.scores([features(texts[i]) for i in part])
+                grams = [features(texts[i]) for i in part]
+                f = m.scores(grams)
                 score[part] = (np.clip(f.max(axis=1), -1, 1) + 1) / 2
                 pred[part] = np.array(m.langs, object)[f.argmax(axis=1)]
-            yield pd.DataFrame({"lang_pred": pred, "score": score})
+                known[part] = [m.fits(g, k) for g, k in zip(grams, f.argmax(axis=1), strict=True)]
+            yield pd.DataFrame({"lang_pred": pred, "score": score, "known": known})
 
-    return F.pandas_udf(run, "lang_pred string, score double")(text.cast("string"))
+    return F.pandas_udf(run, "lang_pred string, score double, known boolean")(text.cast("string"))
 
 
 def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -153,11 +191,15 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
     results; repeated rows and null ids come back as they are.
     """
     small_batches(docs.sparkSession)
-    return docs.select(docs[id_col].alias("doc_id"), prediction(docs[text_col], model, docs.sparkSession).alias("r")).select("doc_id", "r.*")
+    return docs.select(docs[id_col].alias("doc_id"), prediction(docs[text_col], model, docs.sparkSession).alias("r")).select("doc_id", "r.lang_pred", "r.score")
+
 
+def keep_known(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose text is in a learned language, with all their columns.
 
-def keep_known(docs: DataFrame, model: Model | None, least: float = 0.25, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose text is in a learned language with a score of ``least`` or more, with all their columns."""
+    A text of another language, or of none, has fewer of the common 3-grams of the language that it
+    would get than held-out texts of that language.  A language learned from one text has no limit.
+    """
     small_batches(docs.sparkSession)
     rows = docs.select(F.struct("*").alias("row"), prediction(docs[text_col], model, docs.sparkSession).alias("r"))
-    return rows.where((F.col("r.lang_pred") != "und") & (F.col("r.score") >= least)).select("row.*")
+    return rows.where((F.col("r.lang_pred") != "und") & F.col("r.known")).select("row.*")
