@@ -21,7 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import small_batches
@@ -143,18 +143,18 @@ def fit_model(texts: list[str], langs: list[str], landmarks: int = 64, ridge: fl
 
 
 def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", per_lang: int = 400, landmarks: int = 64, seed: int = 3) -> Model | None:
-    """Fit on a sample of about ``per_lang`` rows of each language, drawn by a hash of the text.
+    """Fit on a sample of ``per_lang`` distinct texts of each language, or all that it has: those of least hash.
 
     The sample is all that reaches the driver.  Rows without text or language aren't used, equal
     texts count once, and None comes back if nothing is left.
     """
-    rows = train.select(train[text_col].cast("string").alias("text"), train[lang_col].cast("string").alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
-    if not counts:
+    rows = train.select(train[text_col].cast("string").alias("text"), train[lang_col].cast("string").alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL").withColumn("h", F.xxhash64(F.lit(seed), "text"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))  # limited to per_lang within each task first
+    last = {r["lang"]: r["h"] for r in rows.select("lang", "h").distinct().withColumn("rank", rank).where(F.col("rank") <= per_lang).groupBy("lang").agg(F.max("h").alias("h")).collect()}
+    if not last:
         return None
-    share = F.create_map(*[F.lit(v) for x, n in counts.items() for v in (x, min(1.0, per_lang / n))])
-    draw = F.xxhash64(F.lit(seed), "text") / F.lit(2.0**64) + 0.5
-    sample = rows.where(draw < share[F.col("lang")]).dropDuplicates(["text", "lang"]).select("text", "lang", F.xxhash64(F.lit(seed + 1), "text").alias("order"))
+    limit = F.create_map(*[F.lit(v) for x, h in last.items() for v in (x, h)])
+    sample = rows.where(F.col("h") <= limit[F.col("lang")]).dropDuplicates(["text", "lang"]).select("text", "lang", F.xxhash64(F.lit(seed + 1), "text").alias("order"))
     got = sorted(sample.collect(), key=lambda r: (r["order"], r["text"], r["lang"]))
     return fit_model([r["text"] for r in got], [r["lang"] for r in got], landmarks)
 

@@ -29,3 +29,12 @@ def test_unlearned_language_goes_and_short_clean_texts_stay(spark, given):
         kept = {r.lang: r["count"] for r in got}
         assert all(kept.get(x, 0) >= 0.97 * 60 for x in learned), (left, kept)
         assert kept.get("left", 0) <= 2 and "salad" not in kept and "other" not in kept, (left, kept)
+
+
+def test_sample_has_min_of_per_lang_and_distinct_texts(spark, monkeypatch):
+    got = []
+    monkeypatch.setattr(langid, "fit_model", lambda texts, langs, landmarks: got.append(list(zip(texts, langs, strict=True))))
+    rows = [(f"text number {k}", "en") for k in range(300)] + [("a copied text", "en")] * 20_000 + [(f"der text {k}", "de") for k in range(12)] * 2 + [(None, "en"), ("x", None)]
+    langid.fit(spark.createDataFrame(rows, "text string, lang string").repartition(5), per_lang=30)
+    langs = [x for _, x in got[0]]
+    assert len(set(got[0])) == len(got[0]) and langs.count("en") == 30 and langs.count("de") == 12 and len(langs) == 42
