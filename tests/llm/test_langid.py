@@ -38,3 +38,15 @@ def test_sample_has_min_of_per_lang_and_distinct_texts(spark, monkeypatch):
     langid.fit(spark.createDataFrame(rows, "text string, lang string").repartition(5), per_lang=30)
     langs = [x for _, x in got[0]]
     assert len(set(got[0])) == len(got[0]) and langs.count("en") == 30 and langs.count("de") == 12 and len(langs) == 42
+
+
+def test_languages_of_other_scripts_are_told_apart():
+    rng = random.Random(9)
+    # the Latin letters alone fill an alphabet of 62; the others are rare in the sample
+    words = {"la": [chr(c) for c in range(0x61, 0x7B)] + [chr(c) for c in range(0xE0, 0x180) if chr(c).isalpha() and chr(c).islower()], "ru": "абвгдежзиклмн", "uk": "опрстуфхцчшщю", "el": "αβγδεζηθικλμν", "zh": "的一是不了人我在有他这中大"}
+    make = lambda x, n: " ".join("".join(rng.choice(words[x]) for _ in range(3)) for _ in range(n))
+    train = [(make(x, 400 if x == "la" else 12), x) for x in words for _ in range(20)]
+    model = langid.fit_model(*zip(*train, strict=True))
+    test = [(make(x, 12), x) for x in words for _ in range(10)]
+    got = model.scores([langid.Features()(t) for t, _ in test]).argmax(axis=1)
+    assert [model.langs[k] for k in got] == [x for _, x in test]
