@@ -1,379 +1,334 @@
-"""Language-model scores from a probabilistic suffix tree over characters.
-
-A text is its words in lower case, one space between them, and an end.  The tree holds contexts of
-up to ``depth`` characters.  A context is a candidate if its share of all positions is at least
-``p_min``, which bounds how many there are whatever the corpus, and it is retained if what follows
-it diverges enough from what follows its longest retained suffix.  A state's next-symbol distribution
-is smoothed with that suffix's.  Each position is scored in the state of its longest retained suffix.
-
-The tree spells tokens: with the states before its characters it gives each word, and the end, a
-probability Q given what came before.  A token's probability is ``spelling`` * Q and the rest of its
-share c / N in training texts, where c is its count and N that of all tokens.  So the part of the model
-that is broadcast is bounded, and the word counts grow with the corpus, exactly and without a limit.
-
-Counts are of all training texts: n-grams are counted by partition and summed in the cluster, those
-of one context in one place.  Texts are dealt into groups of bounded bytes; each
-group asks for its words and gets the counts back, so neither words nor counts ever meet in one place.
+"""Language-model scores from a probabilistic suffix tree over words.
+
+A text is its words in lower case and an end.  The tree's contexts are the last words before a place,
+from none (the root) to ``depth``; the place before the first word is the end's.  The tree is grown
+level by level.  Every word of the training texts is a candidate of depth one; a longer context is a
+candidate if it occurs ``least`` times there, the context without its first word is retained, and that
+without its last is a candidate.  A candidate is retained if the divergence of what follows it from
+what follows its suffix, the empirical Kullback-Leibler divergence times its count, is at least
+``gain`` nats.  All these limits are absolute, so the tree grows with the corpus and has no cap.
+
+A state's next-word distribution is smoothed with its suffix's: (n(s, w) + m P(w | suffix)) / (n(s) + m).
+The root's is (c + 0.1) / (N + 0.1 (V + 1)), where all unseen words share one symbol.  Each place is
+scored in the state of its longest retained suffix.
+
+The tree is a distributed table.  Texts stay together in groups of bounded bytes, as streams of word
+numbers.  For each depth a group asks once for each distinct pair of context and next word that it
+has, with its own count of it in training texts; a bucket of contexts sums the counts, tests the
+contexts and answers each group in the order that it asked.  A context with more than a bucket's
+share of all places is dealt out over several buckets by next word, and the groups add up its
+divergence.  So neither a frequent word nor the tree ever meets in one place, and nothing but three
+totals reaches the driver.  Words and contexts go by 64-bit hashes, which are taken to be distinct.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass
-from itertools import repeat
+from functools import reduce
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import xxhash
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, cut, raw_texts, small_batches, text_of
-
-BITS = 6
-SYMBOLS, END, OTHER = 1 << BITS, 0, 1
-#: Code points that share the symbol OTHER.
-OUTSIDE = 0x110000 - (SYMBOLS - 2)
-#: Text bytes of a group that is scored at once.
-GROUP_BYTES = 10_000_000
-#: Symbols and distinct n-grams that a worker handles at once.
-CHUNK, TABLE, WORDS = 400_000, 1_000_000, 200_000
-_WORDS = pa.schema([("grp", pa.int64()), ("word", pa.binary()), ("n", pa.int64())])
+from .blobs import pack, unpack
+from .common import batch, cut, drop_cut, raw_texts, small_batches, text_of
+
+#: Text bytes of a group, and for each bucket.
+GROUP_BYTES, BUCKET_BYTES = 8_000_000, 4_000_000
+#: Kinds of messages: a group's stream, a depth's answers (from 1 on, for words), and totals.
+STREAM, TOTALS = 0, -1
+_MESSAGES = pa.schema([("grp", pa.int64()), ("kind", pa.int32()), ("part", pa.int64()), ("data", pa.large_binary()), ("a", pa.int64()), ("b", pa.int64())])
+_MESSAGES_SQL = "grp bigint, kind int, part bigint, data binary, a bigint, b bigint"
 _SCORES = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 _SCORES_SQL = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
 
 
-def normalised(raw: bytes) -> str:
-    """Words in lower case with a space between; U+0000, which marks ends, becomes U+FFFD."""
-    return b" ".join(raw.lower().split()).decode().replace("\0", "\ufffd")
+def _mixed(a: np.ndarray, b: np.ndarray | int = 0) -> np.ndarray:
+    """64-bit hashes of numbers, or of pairs."""
+    x = a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.asarray(b).astype(np.uint64)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return (x ^ (x >> np.uint64(31))).view(np.int64)
 
 
-def windows(text: str, classes: np.ndarray, depth: int) -> np.ndarray:
-    """n-gram codes of the places of ``text`` after its first ``depth``: the next symbol in the lowest digit, then contexts outward."""
-    x = classes[np.frombuffer(text.encode("utf-32-le"), "<u4")]
-    out = np.zeros(len(x) - depth, np.int64)
-    for k in range(depth, -1, -1):
-        out <<= BITS
-        out |= x[depth - k : len(x) - k]
-    return out
+def _logs(n: np.ndarray) -> np.ndarray:
+    return np.log(n, out=np.zeros(len(n)), where=n > 0)
 
 
-def batches_of(texts: list[str], classes: np.ndarray, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(numbers of texts, their lengths with the end, codes of all their places), at most about CHUNK places at once.
+def _rows(kind: int, grp, parts, data) -> pa.RecordBatch:
+    return batch(_MESSAGES, [grp, [kind] * len(data), parts, data, [None] * len(data), [None] * len(data)])
 
-    A longer text comes in several parts.
-    """
-    pad, waiting, size = "\0" * depth, [], 0
-
-    def joined() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        lengths = np.array([len(texts[i]) + 1 for i in waiting])
-        codes = windows(pad + ("\0" + pad).join(texts[i] for i in waiting) + "\0", classes, depth)
-        if len(waiting) > 1:  # without the places that lie within the padding between texts
-            ends = np.cumsum(lengths + depth)[:-1] - depth
-            keep = np.ones(len(codes), bool)
-            keep[(ends[:, None] + np.arange(depth)).ravel()] = False
-            codes = codes[keep]
-        return np.array(waiting), lengths, codes
-
-    for i, text in enumerate(texts):
-        if len(text) >= CHUNK:
-            whole = pad + text + "\0"
-            for at in range(0, len(text) + 1, CHUNK):
-                codes = windows(whole[at : at + CHUNK + depth], classes, depth)
-                yield np.array([i]), np.array([len(codes)]), codes
-            continue
-        waiting.append(i)
-        size += len(text)
-        if size >= CHUNK:
-            yield joined()
-            waiting, size = [], 0
-    if waiting:
-        yield joined()
-
-
-@dataclass
-class Tree:
-    """States are numbered; 0 is the root. ``contexts[d]`` has the sorted codes of depth d, ``states[d]`` their numbers."""
-
-    alphabet: list[int]
-    depth: int
-    contexts: list[np.ndarray]
-    states: list[np.ndarray]
-    log10: np.ndarray  # [state, symbol]
-
-    def classes(self) -> np.ndarray:
-        out = np.full(0x110000, OTHER, np.int64)
-        out[self.alphabet] = np.arange(2, 2 + len(self.alphabet))
-        out[0] = END
-        return out
-
-    def state_of(self, context: np.ndarray) -> np.ndarray:
-        """The state of the longest retained suffix of contexts of full depth."""
-        out = np.zeros(len(context), np.int64)
-        for d in range(1, self.depth + 1):
-            known = self.contexts[d]
-            if len(known):
-                code = context & ((1 << BITS * d) - 1)
-                k = np.minimum(np.searchsorted(known, code), len(known) - 1)
-                hit = known[k] == code
-                out[hit] = self.states[d][k[hit]]
-        return out
-
-
-class Scorer:
-    """A tree as two tables, so that a place takes three lookups.
-
-    All but the outermost symbol of a context lead to a node, and that symbol leads from the node to
-    the state.  Beyond a depth of 5 the first table would be too large and the tree is searched.
-    """
 
-    def __init__(self, tree: Tree):
-        self.tree, self.classes = tree, tree.classes().astype(np.uint8)
-        self.log10 = tree.log10.copy()
-        self.log10[:, OTHER] -= np.log10(OUTSIDE)
-        self.log10 = np.ascontiguousarray(self.log10).ravel()
-        self.inner = tree.depth - 1
-        self.node = None
-        if tree.depth <= 5:
-            # first the state without the outermost symbol, for each inner context: a node for each state
-            self.node = np.zeros(1 << BITS * self.inner, np.int32)
-            for d in range(1, tree.depth):
-                self.node.reshape(-1, 1 << BITS * d)[:, tree.contexts[d]] = tree.states[d]
-            deep, mask = tree.contexts[tree.depth], len(self.node) - 1
-            inside, n = np.unique(deep & mask), len(tree.log10)
-            children = np.repeat(np.r_[np.arange(n), self.node[inside]].astype(np.int32)[:, None], SYMBOLS, axis=1)
-            self.node[inside] = n + np.arange(len(inside))
-            children[self.node[deep & mask], deep >> BITS * self.inner] = tree.states[tree.depth]
-            self.children = children.ravel()
-
-    def score(self, codes: np.ndarray) -> np.ndarray:
-        """log10 probability of each place."""
-        context = codes >> BITS
-        if self.node is None:
-            state = self.tree.state_of(context)
-        else:
-            at = self.node[context & ((1 << BITS * self.inner) - 1)].astype(np.int64)
-            state = self.children[(at << BITS) | (context >> BITS * self.inner)].astype(np.int64)
-        return self.log10[(state << BITS) | (codes & (SYMBOLS - 1))]
+def _encoder(buckets: int, group_bytes: int):
+    """Streams of groups, and their words for each bucket."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = TaskContext.get().partitionId() << 32
+        number: defaultdict[bytes, int] = defaultdict(count().__next__)
+        ids, held, streams, size, groups = [], [], [], 0, 0
 
-_scorers: dict[tuple, Scorer] = {}
+        def out() -> Iterator[pa.RecordBatch]:
+            nonlocal number, size, groups
+            end = number[b""]  # the end counts as the empty word
+            hashes = np.fromiter(map(xxhash.xxh64_intdigest, number), np.uint64, len(number)).view(np.int64)
+            part = (hashes.view(np.uint64) % np.uint64(buckets)).astype(np.int64)
+            order = np.lexsort((hashes, part))
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            hashes, part = hashes[order], part[order]
+            stream = rank[np.concatenate([x for s in streams for x in (s, [end])])]
+            lengths = np.array([len(s) + 1 for s in streams])
+            train = np.repeat(~np.array(held, bool), lengths)
+            n = np.bincount(stream[train], minlength=len(order))
+            starts = np.flatnonzero(np.diff(part, prepend=-1))
+            own = pack(np.array([i or 0 for i in ids]), np.array([i is None for i in ids], np.int64), np.array(held, np.int64), lengths, stream, np.array([rank[end], len(order)]))
+            yield _rows(STREAM, [first + groups], [0], [own])
+            ends = np.r_[starts[1:], len(part)]
+            yield _rows(1, [first + groups] * len(starts), part[starts], [pack(hashes[a:b], n[a:b]) for a, b in zip(starts, ends, strict=True)])
+            number, size, groups = defaultdict(count().__next__), 0, groups + 1
+            for x in (ids, held, streams):
+                x.clear()
 
+        for rows in batches:
+            for i, h, raw in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), raw_texts(rows.column(2)), strict=True):
+                words = raw.lower().split()
+                streams.append(np.fromiter(map(number.__getitem__, words), np.int64, len(words)))
+                ids.append(i)
+                held.append(h)
+                size += len(raw) + 64
+                if size >= group_bytes:
+                    yield from out()
+        if ids:
+            yield from out()
 
-def grow(rows: list[np.ndarray], alphabet: list[int], depth: int, p_min: float = 5e-6, gain: float = 20.0, prior: float = 10.0) -> Tree:
-    """Retain contexts.  ``rows[d]`` is [code, count] of n-grams with contexts of depth d, all of the candidates' ones.
+    return run
 
-    A candidate is retained if its count times the divergence (nats) of its distribution from its
-    suffix's is at least ``gain``.
-    """
-    total = rows[0][:, 1].sum() if len(rows[0]) else 0
-    counts = np.zeros(SYMBOLS)
-    counts[rows[0][:, 0]] = rows[0][:, 1]
-    probs = [((counts + 0.1) / (total + 0.1 * SYMBOLS))[None, :]]
-    tree = Tree(alphabet, depth, [np.zeros(0, np.int64)] * (depth + 1), [np.zeros(0, np.int64)] * (depth + 1), probs[0])
-    states = 1
-    for d in range(1, depth + 1):
-        code, n = rows[d][:, 0], rows[d][:, 1]
-        ctx, row = np.unique(code // SYMBOLS, return_inverse=True)
-        if not len(ctx):
-            continue
-        c = np.zeros((len(ctx), SYMBOLS))
-        c[row, code % SYMBOLS] = n
-        size = c.sum(axis=1, keepdims=True)
-        parent = np.concatenate(probs)[tree.state_of(ctx)]
-        with np.errstate(divide="ignore", invalid="ignore"):
-            diverges = np.where(c > 0, c * np.log(c / size / parent), 0.0).sum(axis=1)
-        keep = (size[:, 0] >= p_min * total) & (diverges >= gain)
-        probs.append(((c + prior * parent) / (size + prior))[keep])
-        tree.contexts[d], tree.states[d] = ctx[keep], np.arange(states, states + keep.sum())
-        states += int(keep.sum())
-    tree.log10 = np.log10(np.concatenate(probs))
-    return tree
-
-
-def _point_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How often each code point occurs; point -1 counts texts, so the sum of all counts places."""
-    total, texts, waiting, size = np.zeros(0x110000, np.int64), 0, [], 0
-
-    def count() -> None:
-        n = np.bincount(np.frombuffer("".join(waiting).encode("utf-32-le"), "<u4"))
-        total[: len(n)] += n
-        waiting.clear()
 
+def _runs(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[list[tuple]]:
+    """(grp, kind, part, data) of all rows with the same ``column``, which come one after the other."""
+    now, held = None, []
     for rows in batches:
-        for raw in raw_texts(rows.column(0)):
-            waiting.append(normalised(raw))
-            texts += 1
-            size += len(waiting[-1])
-            if size >= CHUNK:
-                count()
-                size = 0
-    count()
-    at = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, at]), pa.array(np.r_[texts, total[at]])], names=["point", "n"])
+        keys = rows.column(column).to_pylist()
+        for key, *row in zip(keys, *(rows.column(c).to_pylist() for c in ("grp", "kind", "part", "data")), strict=True):
+            if held and key != now:
+                yield held
+                held = []
+            now = key
+            held.append(tuple(row))
+    if held:
+        yield held
 
 
-def summed(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each distinct code with the sum of its counts."""
-    order = np.argsort(codes, kind="stable")
-    codes = codes[order]
-    first = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])
-    return codes[first], np.add.reduceat(counts[order], first)
-
-
-def _gram_counts(alphabet: list[int], depth: int):
-    """Counts of n-grams of every depth: shorter ones are sums of a worker's table of longer ones."""
+def _words(buckets: int):
+    """Numbers and counts of words; and how many words and tokens a bucket has in training texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes = Tree(alphabet, depth, [], [], np.zeros(0)).classes().astype(np.uint8)
-        waiting: list[tuple[np.ndarray, np.ndarray]] = []
+        for asked in _runs(batches, "part"):
+            part = asked[0][2]
+            got = [unpack(data) for *_, data in asked]
+            distinct, at = np.unique(np.concatenate([h for h, _ in got]), return_inverse=True)
+            total = np.bincount(at, np.concatenate([n for _, n in got]), len(distinct)).astype(np.int64)
+            ends = np.cumsum([len(h) for h, _ in got])
+            for (grp, *_), a, b in zip(asked, np.r_[0, ends[:-1]], ends, strict=True):
+                yield _rows(1, [grp], [part], [pack(at[a:b] * buckets + part, total[at[a:b]])])
+            yield batch(_MESSAGES, [[-1], [TOTALS], [part], [b""], [int((total > 0).sum())], [int(total.sum())]])
 
-        def merge() -> None:
-            waiting[:] = [summed(np.concatenate([c for c, _ in waiting]), np.concatenate([n for _, n in waiting]))]
-
-        def out() -> Iterator[pa.RecordBatch]:
-            codes, counts = waiting.pop()
-            for d in range(depth, -1, -1):
-                if d < depth:
-                    codes, counts = summed(codes % SYMBOLS ** (d + 1), counts)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(codes), d, np.int32)), pa.array(codes // SYMBOLS), pa.array(codes), pa.array(counts)], names=["d", "ctx", "code", "n"])
+    return run
 
-        for rows in batches:
-            for _, _, got in batches_of([normalised(raw) for raw in raw_texts(rows.column(0))], classes, depth):
-                waiting.append(np.unique(got, return_counts=True))
-                if sum(len(c) for c, _ in waiting) >= 2 * TABLE:
-                    merge()
-                    if len(waiting[0][0]) >= TABLE:
-                        yield from out()
-        if waiting:
-            merge()
-            yield from out()
 
-    return run
+def _tested(depth: int, gain: float):
+    """Sums of asked pairs over all groups, and whether their contexts are retained."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for asked in _runs(batches, "part"):
+            got = [unpack(data) for *_, data in asked]
+            context, pairs, split, sums, word, n = (np.concatenate(x) for x in zip(*got, strict=True))
+            contexts, entry = np.unique(context, return_inverse=True)
+            of = np.repeat(entry, pairs)
+            if len(contexts) * (int(word.max(initial=0)) + 1) >= 1 << 62:
+                word = np.unique(word, return_inverse=True)[1]
+            base = int(word.max(initial=0)) + 1
+            distinct, at = np.unique(of * base + word, return_inverse=True)
+            total = np.bincount(at, n, len(distinct))
+            owner = distinct // base
+            have = np.bincount(owner, total, len(contexts))
+            excess = np.bincount(owner, total * _logs(total), len(contexts)) - np.bincount(entry, sums, len(contexts))
+            kept = (excess - have * _logs(have) >= gain) & (have > 0)
+            total = total.astype(np.int64)[at]
+            entries, ends = np.cumsum([len(x[0]) for x in got]), np.cumsum([len(x[4]) for x in got])
+            for (grp, _, part, _), a, b, c, d in zip(asked, np.r_[0, entries[:-1]], entries, np.r_[0, ends[:-1]], ends, strict=True):
+                e = entry[a:b]
+                yield _rows(depth + 1, [grp], [part], [pack(kept[e].astype(np.int64), excess[e[split[a:b] > 0]], total[c:d])])
 
-def fit(train: DataFrame, text_col: str = "text", depth: int = 5, p_min: float = 5e-6, gain: float = 20.0) -> Tree:
-    """The tree of all texts of ``train``; null texts count as empty, and no text at all gives a uniform root.
+    return run
 
-    Only candidates' counts reach the driver: at most 1 / p_min contexts of each depth.
-    """
-    small_batches(train.sparkSession)
-    texts = train.select(text_of(train, text_col).alias("text"))
-    points = cut(texts.mapInArrow(_point_counts, "point bigint, n bigint").groupBy("point").agg(F.sum("n").alias("n")))  # at most as many as Unicode has
-    alphabet = [r["point"] for r in points.where("point >= 0").orderBy(F.desc("n"), "point").limit(SYMBOLS - 2).collect()]  # the alphabet's size is fixed
-    total = points.agg(F.sum("n")).first()[0] or 0
-    grams = texts.mapInArrow(_gram_counts(alphabet, depth), "d int, ctx bigint, code bigint, n bigint").repartition("d", "ctx")
-    # both sums keep to the partitions of that one exchange
-    wide = grams.groupBy("d", "ctx", "code").agg(F.sum("n").alias("n")).groupBy("d", "ctx").agg(F.sum("n").alias("size"), F.collect_list(F.struct("code", "n")).alias("next"))  # at most 64 next symbols
-    got: list[list] = [[] for _ in range(depth + 1)]
-    for r in wide.where(F.col("size") >= p_min * total).select("d", "next").toLocalIterator():
-        got[r["d"]] += [(x["code"], x["n"]) for x in r["next"]]
-    return grow([np.array(sorted(g), np.int64).reshape(-1, 2) for g in got], alphabet, depth, p_min, gain)
-
-
-def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A group's distinct words with their counts in training texts; a word may come in several rows."""
-    words: dict[int, Counter] = {}
-
-    def out() -> pa.RecordBatch:
-        got = batch(_WORDS, [[g for g, c in words.items() for _ in c], [w for c in words.values() for w in c], [n for c in words.values() for n in c.values()]])
-        words.clear()
-        return got
 
-    for rows in batches:
-        groups, held = rows.column("grp").to_pylist(), rows.column("held_out").to_pylist()
-        for g, h, raw in zip(groups, held, raw_texts(rows.column("text")), strict=True):
-            own, tokens = words.setdefault(g, Counter()), raw.lower().split()
-            own.update(dict.fromkeys(tokens, 0) if h else tokens)
-            if sum(map(len, words.values())) > WORDS:
-                yield out()
-    yield out()
+class Group:
+    """The texts of a group on their way down the tree."""
+
+    def __init__(self, rows: list[tuple], tokens: int, distinct: int, buckets: int, least: int, gain: float, prior: tuple[float, ...]):
+        self.tokens, self.buckets, self.gain, self.prior, self.least = tokens, buckets, gain, prior, least
+        self.answers = {(kind, part): data for _, kind, part, data in rows if kind > STREAM}
+        ids, null, held, self.lengths, self.word, (end, size) = unpack(next(data for _, kind, _, data in rows if kind == STREAM))
+        self.ids, self.held = np.where(null > 0, None, ids), held > 0
+        self.first = np.r_[0, np.cumsum(self.lengths)[:-1]]
+        self.train = np.repeat(~self.held, self.lengths)
+        self.number, self.count = (np.zeros(size, np.int64) for _ in range(2))
+        at = 0
+        for part in sorted(p for kind, p in self.answers if kind == 1):
+            number, n = unpack(self.answers[1, part])
+            self.number[at : at + len(number)], self.count[at : at + len(number)] = number, n
+            at += len(number)
+        root = (self.count + 0.1) / (tokens + 0.1 * (distinct + 1))
+        self.p, self.log_suffix = root[self.word], (_logs(self.count) - np.log(max(tokens, 1)))[self.word]
+        self.base = np.log10(self.p)
+        # the pair of each place at the last depth, and each pair's hash and count: at depth zero, the words
+        self.pair, self.hash, self.total = self.word, self.number, self.count
+        self.able, self.start, self.depth = np.ones(len(self.word), bool), end, 0
+
+    def deepen(self) -> None:
+        """Places whose context of the next depth is a candidate, with its number among the group's contexts."""
+        self.depth += 1
+        context = np.r_[self.start, self.pair[:-1]]
+        able = self.able & np.r_[True, self.known[:-1] if self.depth > 1 else np.ones(len(self.word) - 1, bool)]
+        if self.depth == 1:
+            context[self.first] = self.start
+        else:
+            able[self.first] = False
+        size = np.zeros(len(context), np.int64)
+        size[able] = self.total[context[able]]
+        self.places = np.flatnonzero(able & (size >= (1 if self.depth == 1 else self.least)))
+        self.contexts, self.context = np.unique(context[self.places], return_inverse=True)
+        self.contexts_hash, self.contexts_total = self.hash[self.contexts], self.total[self.contexts]
+        w = int(self.word.max(initial=0)) + 1
+        pairs, self.at = np.unique(self.context * w + self.word[self.places], return_inverse=True)
+        owner, word = pairs // w, pairs % w
+        # a context of more than a bucket's share of all places has several entries
+        parts = np.minimum(self.buckets, -(-self.contexts_total * self.buckets // max(self.tokens, 1)))
+        start = np.cumsum(parts) - parts
+        self.entry_context = np.repeat(np.arange(len(parts)), parts)
+        turn = np.arange(len(self.entry_context)) - start[self.entry_context]
+        bucket = ((_mixed(self.contexts_hash)[self.entry_context].view(np.uint64) >> np.uint64(1)).astype(np.int64) % self.buckets + turn) % self.buckets
+        order = np.lexsort((self.contexts_hash[self.entry_context], bucket))
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        self.entry_context, self.bucket = self.entry_context[order], bucket[order]
+        self.split = parts[self.entry_context] > 1
+        of = rank[start[owner] + self.number[word] % parts[owner]]
+        self.order = np.lexsort((self.number[word], of))  # pairs as they are asked
+        self.of, self.pair_hash, self.pair_number = of[self.order], _mixed(self.contexts_hash[owner], self.number[word]), self.number[word]
+        self.entries = np.flatnonzero(np.diff(self.bucket, prepend=-1))  # where a bucket's entries begin
+
+    def ask(self, grp: int) -> Iterator[pa.RecordBatch]:
+        """What the group asks each bucket at this depth."""
+        train = self.train[self.places]
+        n = np.bincount(self.at[train], minlength=len(self.order))[self.order]
+        log = np.bincount(self.at[train], self.log_suffix[self.places][train], len(self.order))[self.order]
+        sums = np.bincount(self.of, log, len(self.bucket))
+        pairs = np.bincount(self.of, minlength=len(self.bucket))
+        word, ends = self.pair_number[self.order], np.r_[0, np.cumsum(pairs)]
+        data = []
+        for a, b in zip(self.entries, np.r_[self.entries, len(self.bucket)][1:].astype(int), strict=True):
+            some = slice(ends[a], ends[b])
+            data.append(pack(self.contexts_hash[self.entry_context[a:b]], pairs[a:b], self.split[a:b].astype(np.int64), sums[a:b], word[some], n[some]))
+        if data:
+            yield _rows(self.depth + 1, [grp] * len(data), self.bucket[self.entries], data)
+
+    def told(self) -> None:
+        """Take in the answers of this depth: probabilities of places in retained contexts."""
+        kept, total = np.zeros(len(self.bucket), bool), np.zeros(len(self.order), np.int64)
+        excess, at = np.zeros(len(self.bucket)), 0
+        for a, b in zip(self.entries, np.r_[self.entries, len(self.bucket)][1:].astype(int), strict=True):
+            flags, more, n = unpack(self.answers[self.depth + 1, int(self.bucket[a])])
+            kept[a:b], excess[np.flatnonzero(self.split[a:b]) + a] = flags > 0, more
+            total[self.order[at : at + len(n)]] = n
+            at += len(n)
+        retained = np.zeros(len(self.contexts), bool)
+        retained[self.entry_context[~self.split]] = kept[~self.split]
+        several = np.zeros(len(self.contexts), bool)
+        several[self.entry_context[self.split]] = True
+        have = self.contexts_total
+        divergence = np.bincount(self.entry_context, excess, len(self.contexts)) - have * _logs(have)
+        retained = np.where(several, divergence >= self.gain, retained)
+        use = retained[self.context]
+        places, n, have = self.places[use], total[self.at[use]], have[self.context[use]]
+        m = self.prior[min(self.depth, len(self.prior)) - 1]
+        self.p[places] = (n + m * self.p[places]) / (have + m)
+        self.log_suffix[places] = _logs(n) - np.log(have)
+        self.able, self.known = (np.zeros(len(self.word), bool) for _ in range(2))
+        self.able[places], self.known[self.places] = True, True
+        self.pair = np.zeros(len(self.word), np.int64)
+        self.pair[self.places] = self.at
+        self.hash, self.total = self.pair_hash, total
+
+    def scores(self) -> pa.RecordBatch:
+        known = self.count[self.word] > 0
+        sums = [np.add.reduceat(x, self.first) for x in (known.astype(np.int64), self.base, np.log10(self.p))]
+        return batch(_SCORES, [self.ids.tolist(), self.held, self.lengths, sums[0], [self.tokens] * len(self.ids), *sums[1:]])
+
+
+def _asker(depth: int, *model):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _runs(batches, "grp"):
+            group = Group(rows, *model)
+            group.deepen()
+            while group.depth < depth:
+                group.told()
+                group.deepen()
+            yield from group.ask(rows[0][0])
 
+    return run
 
-def spelled(scorer: Scorer, texts: list[str], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """log10 Q of the words of all texts and of their ends, and the number of words of each text.
 
-    A text is a run of units, each a word with the place after it; an empty text has one of no letters.
-    After a unit the tree's chance of an end is P(end) / (P(end) + P(space)).
-    """
-    sizes = [np.array(list(map(len, text.split(" ")))) + 1 for text in texts]
-    units, size = np.array(list(map(len, sizes))), np.concatenate(sizes)
-    first = np.r_[0, np.cumsum(units)]
-    letters, stop, end = np.zeros(len(size)), np.ones(len(size)), np.ones(len(size))
-    done: Counter = Counter()
-    space = int(scorer.classes[32])
-    for which, lengths, codes in batches_of(texts, scorer.classes, depth):
-        n = units[which]
-        u = np.repeat(first[which] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-        ends = np.cumsum(size[u]) - done[int(which[0])]  # a long text comes in parts, one at a time
-        lo, hi = np.searchsorted(ends, 0, "right"), np.searchsorted(ends, len(codes), "right")
-        last, bounds = ends[lo:hi] - 1, np.r_[0, ends[lo:hi]]
-        bounds = bounds[bounds < len(codes)]
-        p = scorer.score(codes)
-        p[last] = 0
-        letters[u[lo : lo + len(bounds)]] += np.add.reduceat(p, bounds)
-        context = codes[last] & ~np.int64(SYMBOLS - 1)
-        end[u[lo:hi]] = 10 ** scorer.score(context | END)
-        stop[u[lo:hi]] = end[u[lo:hi]] + 10 ** scorer.score(context | space)
-        done[int(which[0])] += len(codes)
-    some = size[first[:-1]] > 1
-    chance = np.where(np.repeat(some, units), end / stop, end)
-    word = letters + np.log10(stop)
-    follows = np.ones(len(size), bool)
-    follows[first[:-1]] = False
-    at = np.flatnonzero(follows)
-    word[at] += np.log10(1 - chance[at - 1])
-    return word[np.repeat(some, units)], np.log10(chance[first[1:] - 1]), np.where(some, units, 0)
-
-
-def _scorer(tree, ends: int, spelling: float):
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        t: Tree = tree.value
-        key = (t.depth, len(t.log10), float(t.log10.sum()), tuple(t.alphabet))
-        if key not in _scorers:  # its tables serve all groups of a worker
-            _scorers.clear()
-            _scorers[key] = Scorer(t)
-        get = dict(zip(right.column("word").to_pylist(), right.column("total").to_pylist(), strict=True)).get
-        total, distinct = left.column("tokens")[0].as_py() + ends, left.column("distinct")[0].as_py() + int(ends > 0)
-        texts, counts = [], []
-        for raw in (raw for c in left.column("text").chunks for raw in raw_texts(c)):
-            words = raw.lower().split()
-            counts.append(np.fromiter(map(get, words, repeat(0)), np.int64, len(words)))
-            texts.append(b" ".join(words).decode().replace("\0", "\ufffd"))
-        word, end, n = spelled(_scorers[key], texts, t.depth)
-        c, doc = np.concatenate(counts), np.repeat(np.arange(len(texts)), n)
-        q = spelling if total else 1.0
-        each = np.log10((1 - q) / max(total, 1) * c + q * 10**word, where=c > 0, out=np.log10(q) + word)  # without a count, in logarithms: Q may be too small for a double
-        score = np.bincount(doc, each, len(texts)) + (np.log10((1 - q) / total * ends + q * 10**end) if ends else np.log10(q) + end)
-        base = np.bincount(doc, np.log10(c + 0.1), len(texts)) + np.log10(ends + 0.1) - (n + 1) * np.log10(total + 0.1 * (distinct + 1))
-        known = np.bincount(doc, c > 0, len(texts)).astype(np.int64) + int(ends > 0)
-        return pa.Table.from_arrays([left.column("doc_id"), left.column("held_out"), pa.array(n + 1), pa.array(known), pa.array(np.full(len(texts), total)), pa.array(base), pa.array(score)], schema=_SCORES)
+def _scorer(depth: int, *model):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _runs(batches, "grp"):
+            group = Group(rows, *model)
+            while group.depth < depth:
+                group.deepen()
+                group.told()
+            yield group.scores()
 
     return run
 
 
-def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", depth: int = 5, p_min: float = 5e-6, gain: float = 20.0, spelling: float = 0.8) -> DataFrame:
+def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", depth: int = 3, least: int = 2, gain: float = 3.0, prior: tuple[float, ...] = (150.0, 10.0), group_bytes: int = GROUP_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every row.
 
     Learns from the rows where ``held_out`` is false.  A null text counts as empty: its only token is
     the end.  Repeated rows count and come back as often as they are there; null ids are kept.
-    Without any training text all counts are zero, the tree's root is uniform and alone decides.
-    ``spelling``, above 0 and below 1, is the tree's weight.  Other columns are ignored.
+    Without any training text all counts are zero and every score is that of the root alone.  An
+    empty table gives an empty result.  ``prior`` is m of each depth, the last one for all below.
+    Other columns are ignored.  ``docs`` must give the same rows each time, as a table does.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(docs.sparkSession)
     own = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), text_of(docs, text_col).alias("text"))
-    tree = spark.sparkContext.broadcast(fit(own.where("NOT held_out"), "text", depth, p_min, gain))
     size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    groups = max(1, -(-size // GROUP_BYTES))
-    dealt = own.withColumn("grp", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups))).repartition(groups, "grp")
-    words = dealt.mapInArrow(_word_counts, "grp bigint, word binary, n bigint").repartition("word")
-    # a word has at most a few rows for each group, however frequent it is
-    asked = words.withColumn("total", F.sum("n").over(Window.partitionBy("word"))).where("total > 0").select("grp", "word", "total")
-    # the condition on the group makes this read the same columns of the same exchange
-    once = words.groupBy("word").agg(F.sum("n").alias("n"), F.min("grp").alias("grp")).where("n > 0 AND grp >= 0")
-    sums = once.agg(F.count("*").alias("distinct"), F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"))
-    ends = own.where("NOT held_out").count()
-    # one row of totals, sent along with the texts; both exchanges above are shared with it
-    told = dealt.withColumn("one", F.lit(1)).join(F.broadcast(sums.withColumn("one", F.lit(1))), "one").drop("one")
-    return told.groupBy("grp").cogroup(asked.groupBy("grp")).applyInArrow(_scorer(tree, ends, spelling), _SCORES_SQL)
+    buckets = max(1, -(-size // bucket_bytes))
+    made = cut(own.mapInArrow(_encoder(buckets, group_bytes), _MESSAGES_SQL))
+    streams = made.where(F.col("kind") == STREAM)
+    tasks = (made.agg(F.max(F.shiftright("grp", 32))).first()[0] or 0) + 1  # groups stay in as many tasks as wrote them
+
+    def by_bucket(asked: DataFrame) -> DataFrame:
+        return asked.repartitionById(buckets, F.col("part").cast("int")).sortWithinPartitions("part")
+
+    def by_group(answers: list[DataFrame]) -> DataFrame:
+        every = reduce(DataFrame.union, answers, streams)
+        return every.repartitionById(tasks, F.shiftright("grp", 32).cast("int")).sortWithinPartitions("grp")
+
+    numbered = cut(by_bucket(made.where("kind = 1")).mapInArrow(_words(buckets), _MESSAGES_SQL))
+    distinct, tokens = numbered.where(F.col("kind") == TOTALS).agg(F.sum("a"), F.sum("b")).first()
+    model = (tokens or 0, distinct or 0, buckets, least, gain, prior)
+    answers = [numbered.where("kind = 1")]
+    for d in range(1, depth + 1):
+        asked = by_group(answers).mapInArrow(_asker(d, *model), _MESSAGES_SQL)
+        answers.append(cut(by_bucket(asked).mapInArrow(_tested(d, gain), _MESSAGES_SQL)))
+    out = cut(by_group(answers).mapInArrow(_scorer(depth, *model), _SCORES_SQL))
+    for x in (made, numbered, *answers[1:]):
+        drop_cut(x)
+    return out

@@ -143,80 +143,6 @@ def test_components(spark):
     assert got == {x: r for x, r in root.items() if any(x in e and e[0] != e[1] for e in edges)}
 
 
-def test_suffix_tree(docs, rows):
-    got = suffix_tree.score(docs, F.col("doc_id") % 5 == 0, p_min=1e-4, gain=5.0).collect()
-    train = [r for r in rows if not (r[0] is not None and r[0] % 5 == 0)]
-    counts = Counter(w for r in train for w in (r[1] or "").encode().lower().split())
-    n, v = sum(counts.values()) + len(train), len(counts) + 1
-    want = Counter()
-    for r in rows:
-        words = (r[1] or "").encode().lower().split()
-        base = sum(np.log10((c + 0.1) / (n + 0.1 * (v + 1))) for c in [*(counts[w] for w in words), len(train)])
-        want[r[0], r[0] is not None and r[0] % 5 == 0, len(words) + 1, sum(counts[w] > 0 for w in words) + 1, n, round(base, 4)] += 1
-    assert Counter((g.doc_id, g.held_out, g.n_tokens, g.n_known, g.train_tokens, round(g.base_score, 4)) for g in got) == want
-    # scores are those of a tree grown from plain counts
-    norm = [suffix_tree.normalised((r[1] or "").encode()) for r in train]
-    points = Counter(map(ord, "".join(norm)))
-    alphabet = [p for p, _ in sorted(points.items(), key=lambda x: (-x[1], x[0]))[:62]]
-    sym = {p: k + 2 for k, p in enumerate(alphabet)}
-    grams = [Counter() for _ in range(6)]
-    for t in norm:
-        x = [0] * 5 + [sym.get(ord(c), 1) for c in t] + [0]
-        for i in range(5, len(x)):
-            code = 0
-            for d in range(6):
-                code += x[i - d] * 64**d
-                grams[d][code] += 1
-    tree = suffix_tree.grow([np.array(sorted(g.items()), np.int64) for g in grams], alphabet, 5, 1e-4, 5.0)
-    assert np.allclose((10.0**tree.log10).sum(axis=1), 1)
-    assert len(tree.log10) > 20 and all(len(c) for c in tree.contexts[1:4])
-    def q(past, symbol):
-        state = 0
-        for d in range(1, 6):
-            ctx = sum(past[-1 - k] * 64**k for k in range(d))
-            hit = np.flatnonzero(tree.contexts[d] == ctx)
-            state = int(tree.states[d][hit[0]]) if len(hit) else state
-        return 10 ** tree.log10[state, symbol] / (suffix_tree.OUTSIDE if symbol == 1 else 1)
-
-    expect = defaultdict(list)
-    for r in rows:
-        past, total, more = [0] * 5, 0.0, None
-        words = suffix_tree.normalised((r[1] or "").encode()).split(" ") if (r[1] or "").split() else []
-        keys = (r[1] or "").encode().lower().split()
-        for key, word in zip(keys, words, strict=True):
-            lq = 0.0 if more is None else np.log10(more)
-            for ch in word:
-                symbol = sym.get(ord(ch), 1)
-                lq += np.log10(q(past, symbol))
-                past.append(symbol)
-            end, space = q(past, 0), q(past, sym[32])
-            lq += np.log10(end + space)
-            more = 1 - end / (end + space)
-            past.append(sym[32])
-            total += np.log10(0.2 * counts[key] / n + 0.8 * 10**lq) if counts[key] else np.log10(0.8) + lq
-        last = q(past, 0) if more is None else 1 - more
-        expect[r[0]].append(round(total + np.log10(0.2 * len(train) / n + 0.8 * last), 4))
-    mine = defaultdict(list)
-    for g in got:
-        mine[g.doc_id].append(round(g.score, 4))
-    assert mine.keys() == expect.keys()
-    assert all(np.allclose(sorted(mine[k]), sorted(expect[k]), atol=2e-3) for k in mine)
-
-
-def test_texts_in_parts_spell_the_same(monkeypatch):
-    rng = random.Random(3)
-    texts = [prose(rng, n) for n in (1, 40, 0, 7, 300, 90, 2)] + ["", "x" * 150]
-    alphabet = sorted(set(map(ord, "".join(texts))))
-    probs = np.random.default_rng(1).dirichlet(np.ones(64), 3)
-    none = np.zeros(0, np.int64)
-    tree = suffix_tree.Tree(alphabet, 3, [none, np.array([5, 9]), none, none], [none, np.array([1, 2]), none, none], np.log10(probs))
-    want = suffix_tree.spelled(suffix_tree.Scorer(tree), texts, 3)
-    for size in (1, 5, 64, 1000):
-        monkeypatch.setattr(suffix_tree, "CHUNK", size)
-        for a, b in zip(suffix_tree.spelled(suffix_tree.Scorer(tree), texts, 3), want, strict=True):
-            assert np.allclose(a, b)
-
-
 def test_licenses(spark):
     rng = random.Random(2)
     files = [
