@@ -91,10 +91,10 @@ def aggregate(function: str | Callable, a: Column, b: Column, skipna: bool = Tru
 
         def run(x, y):  # a grouped aggregate; values of a group meet in one task
             keep = x.notna() & y.notna()
-            return float(fn(x[keep].to_numpy(), y[keep].to_numpy())) if keep.any() else None
+            return float(fn(x[keep].to_numpy(), y[keep].to_numpy())) if (keep.any() if skipna else len(keep) and keep.all()) else None
 
         import pandas as pd
 
         run.__annotations__ = {"x": pd.Series, "y": pd.Series, "return": float}
-        out = F.pandas_udf(run, "double")(a, b)
+        return F.pandas_udf(run, "double")(a, b)
     return out if skipna else F.when(F.count(F.when(paired, 1)) == F.count(F.lit(1)), out)

@@ -1,15 +1,20 @@
 """Alignment of forecasts and observations in time.
 
-Axes are small frames of distinct keys; they are combined first and each dataset is then brought to
-the result with one join.  Cells that an outer alignment adds are explicit rows with NULLs.
+Axes are what datasets are aligned by: the distinct runs, leads or valid times, which are as many as
+there are times and not cells.  One job reads those of all datasets, they are combined as sorted
+lists, and each dataset is brought to the result in one pass.  Cells that an outer alignment adds are
+explicit rows with NULLs, at every place of the dataset's table of places, or of its cells if it has
+no such table.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable
 from dataclasses import dataclass
+from datetime import datetime, timedelta
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import add_seconds
@@ -18,16 +23,35 @@ from ..model import Dataset, Time
 _RUN = ("reference_time", "lead_s")
 
 
-def runs_of(df: DataFrame) -> DataFrame:
-    return df.select("reference_time").distinct()
+@dataclass(frozen=True)
+class Axis:
+    """The distinct times of a dataset, ascending: runs and leads of a forecast, valid times of observations."""
+
+    runs: tuple[datetime, ...] = ()
+    leads: tuple[int, ...] = ()
+    times: tuple[datetime, ...] = ()
+
+
+def axes_of(*datasets: Dataset) -> list[Axis]:
+    """The axes of datasets, by one job; a null time is on no axis."""
+
+    def row(k: int, d: Dataset) -> DataFrame:
+        have = _RUN if d.is_forecast() else ("valid_time",)
+        kinds = {"reference_time": "timestamp_ntz", "lead_s": "bigint", "valid_time": "timestamp_ntz"}
+        sets = [(F.collect_set(F.col(c).cast(t)) if c in have else F.lit(None).cast(f"array<{t}>")).alias(c) for c, t in kinds.items()]
+        return d.df.agg(*sets).select(F.lit(k).alias("k"), *kinds)
+
+    rows = sorted(reduce(DataFrame.union, [row(k, d) for k, d in enumerate(datasets)]).collect())
+    return [Axis(*(tuple(sorted(x or ())) for x in r[1:])) for r in rows]
 
 
-def leads_of(df: DataFrame) -> DataFrame:
-    return df.select("lead_s").distinct()
+def times_literal(values: Iterable[datetime]) -> Column:
+    """An array of timestamps as one constant."""
+    return F.filter(F.split(F.lit(",".join(v.isoformat(sep=" ") for v in values)), ","), lambda x: x != "").cast("array<timestamp_ntz>")
 
 
-def times_of(df: DataFrame) -> DataFrame:
-    return df.select("valid_time").distinct()
+def leads_literal(values: Iterable[int]) -> Column:
+    return F.filter(F.split(F.lit(",".join(map(str, values))), ","), lambda x: x != "").cast("array<bigint>")
 
 
 def with_valid_time(df: DataFrame) -> DataFrame:
@@ -39,101 +63,129 @@ def add_valid_time(ds: Dataset) -> Dataset:
     return ds.with_df(with_valid_time(ds.df)) if ds.is_forecast() else ds
 
 
-def _on_axis(ds: Dataset, axis: DataFrame, time_keys: tuple[str, ...]) -> DataFrame:
+def _places(ds: Dataset, others: list[str]) -> DataFrame:
+    """What the dataset has beside times: its places (and members)."""
+    if others == [ds.space_key] and ds.places is not None and ds.space_key in ds.places.columns:
+        return ds.places.select(ds.space_key)
+    return ds.df.select(*others).distinct()
+
+
+def _on_axis(ds: Dataset, axis: dict[str, Column]) -> DataFrame:
     """Every place (and member) of ``ds`` at every time of ``axis``, with NULL where it has no cell."""
-    others = [k for k in ds.keys if k not in time_keys]
-    df = ds.df.drop("valid_time") if "reference_time" in time_keys else ds.df
-    full = axis.crossJoin(df.select(*others).distinct()) if others else axis
-    return full.join(df, [*time_keys, *others], "left")
+    others = [k for k in ds.keys if k not in axis]
+    df = ds.df.drop("valid_time") if "reference_time" in axis else ds.df
+    full = _places(ds, others) if others else ds.df.sparkSession.range(1).select()
+    for name, values in axis.items():
+        full = full.select("*", F.explode(values).alias(name))
+    return full.join(df, [*axis, *others], "left")
 
 
-def to_forecast_axis(ds: Dataset, runs: DataFrame, leads: DataFrame) -> Dataset:
+def to_forecast_axis(ds: Dataset, runs: Iterable[datetime], leads: Iterable[int]) -> Dataset:
     """A forecast on runs x leads, with valid times."""
-    axis = runs.crossJoin(leads)
-    return ds.with_df(with_valid_time(_on_axis(ds, axis, _RUN)))
+    return ds.with_df(with_valid_time(_on_axis(ds, {"reference_time": times_literal(runs), "lead_s": leads_literal(leads)})))
+
+
+def to_observation_axis(ds: Dataset, times: Iterable[datetime]) -> Dataset:
+    return ds.with_df(_on_axis(ds, {"valid_time": times_literal(times)}))
+
+
+def _common(values: list[tuple]) -> list:
+    return sorted(set.intersection(*map(set, values)))
+
+
+def _either(values: list[tuple]) -> list:
+    return sorted(set().union(*values))
 
 
 def align_forecasts(a: Dataset, b: Dataset, only_common: bool = False) -> tuple[Dataset, Dataset]:
     """Runs that both have; leads of either, or of both with ``only_common``, which adds no cells."""
-    runs = runs_of(a.df).intersect(runs_of(b.df))
+    axes = axes_of(a, b)
+    runs = _common([x.runs for x in axes])
     if only_common:
-        leads = leads_of(a.df).intersect(leads_of(b.df))
-        return tuple(d.with_df(d.df.join(runs, "reference_time", "left_semi").join(leads, "lead_s", "left_semi")) for d in (a, b))
-    leads = leads_of(a.df).union(leads_of(b.df)).distinct()
+        leads = _common([x.leads for x in axes])
+        return tuple(d.with_df(d.df.where(F.col("reference_time").isin(runs) & F.col("lead_s").isin(leads))) for d in (a, b))
+    leads = _either([x.leads for x in axes])
     return to_forecast_axis(a, runs, leads), to_forecast_axis(b, runs, leads)
 
 
+def _aligned_observations(a: Dataset, b: Dataset, axes: list[Axis], only_common: bool) -> tuple[Dataset, Dataset]:
+    if only_common:
+        both = _common([x.times for x in axes])
+        return tuple(d.with_df(d.df.where(F.col("valid_time").isin(both))) for d in (a, b))
+    times = _either([x.times for x in axes])
+    return to_observation_axis(a, times), to_observation_axis(b, times)
+
+
 def align_observations(a: Dataset, b: Dataset, only_common: bool = False) -> tuple[Dataset, Dataset]:
     """Valid times of either, or of both with ``only_common``."""
-    if only_common:
-        both = times_of(a.df).intersect(times_of(b.df))
-        return tuple(d.with_df(d.df.join(both, "valid_time", "left_semi")) for d in (a, b))
-    times = times_of(a.df).union(times_of(b.df)).distinct()
-    return tuple(d.with_df(_on_axis(d, times, ("valid_time",))) for d in (a, b))
+    return _aligned_observations(a, b, axes_of(a, b), only_common)
 
 
-def uniform_step(fc: DataFrame) -> int:
+def uniform_step(runs: Iterable[datetime]) -> int:
     """Seconds between runs; NotImplementedError if they differ, IndexError if there is a single run."""
-    w = Window.orderBy("reference_time")  # over the distinct runs only
-    gap = F.timestamp_diff("SECOND", F.lag("reference_time").over(w), F.col("reference_time"))
-    low, high = runs_of(fc).select(gap.alias("gap")).agg(F.min("gap"), F.max("gap")).first()
-    if low is None:
+    runs = sorted(runs)
+    steps = {(b - a).total_seconds() for a, b in zip(runs, runs[1:], strict=False)}
+    if not steps:
         raise IndexError("a single run has no step")
-    if low != high:
+    if len(steps) > 1:
         raise NotImplementedError("reference times aren't evenly spaced")
-    return int(low)
+    return int(steps.pop())
 
 
-def stitch(fc: Dataset, lead_time: str = "start-min") -> Dataset:
+def stitch(fc: Dataset, lead_time: str = "start-min", axis: Axis | None = None) -> Dataset:
     """A forecast as one series in valid time, an observation by trait; run and lead stay as attributes.
 
     ``start-min`` takes each run up to the next one.  ``start-max`` takes whole runs, one in as many
     as the longest lead spans, without the last of the range; at a seam the shorter lead counts.
     """
-    step = uniform_step(fc.df)
+    axis = axis or axes_of(fc)[0]
+    step = uniform_step(axis.runs)
     if lead_time == "start-min":
-        df = fc.df.where(F.col("lead_s") < step)
+        df = with_valid_time(fc.df.where(F.col("lead_s") < step))
     elif lead_time == "start-max":
-        first, last, span = fc.df.agg(F.min("reference_time"), F.max("reference_time"), F.max("lead_s")).first()
+        first, last, span = axis.runs[0], axis.runs[-1], axis.leads[-1] if axis.leads else 0
         if span < 1:
             raise ValueError("start-max needs leads above zero")
-        since = F.timestamp_diff("SECOND", F.lit(first).cast("timestamp_ntz"), F.col("reference_time"))
-        df = fc.df.where((since % span == 0) & (F.col("reference_time") < F.lit(last).cast("timestamp_ntz")))
+        runs = [r for r in axis.runs if (r - first).total_seconds() % span == 0 and r < last]
         want = -(-int((last - first).total_seconds()) // span)
-        if (have := runs_of(df).count()) != want:
-            raise KeyError(f"{want - have} of the {want} runs that start-max needs aren't there")
+        if len(runs) != want:
+            raise KeyError(f"{want - len(runs)} of the {want} runs that start-max needs aren't there")
         others = [k for k in fc.keys if k not in _RUN]
-        df = with_valid_time(df)
+        df = with_valid_time(fc.df.where(F.col("reference_time").isin(runs)))
         w = Window.partitionBy("valid_time", *others).orderBy("lead_s")
         df = df.withColumn("_nr", F.row_number().over(w)).where("_nr = 1").drop("_nr")
     else:
         raise ValueError(f"unknown choice of lead times {lead_time!r}")
-    df = with_valid_time(df).withColumnsRenamed({"reference_time": "run_time", "lead_s": "run_lead_s"})
-    return fc.with_df(df).with_time(Time.OBSERVATION)
+    return fc.with_df(df.withColumnsRenamed({"reference_time": "run_time", "lead_s": "run_lead_s"})).with_time(Time.OBSERVATION)
 
 
 def align_forecast_observation(fc: Dataset, obs: Dataset, only_common: bool = False, lead_time: str = "start-min") -> tuple[Dataset, Dataset]:
     return align_observations(stitch(fc, lead_time), obs, only_common)
 
 
-def run_range(obs: DataFrame, fc: DataFrame) -> tuple:
-    """First and last valid time of the observations, and the longest lead."""
-    return (*obs.agg(F.min("valid_time"), F.max("valid_time")).first(), fc.agg(F.max("lead_s")).first()[0])
-
-
-def covered_runs(obs: DataFrame, fc: DataFrame) -> DataFrame:
+def covered_runs(obs: Axis, fc: Axis) -> list[datetime]:
     """Runs that start when observations have begun and end, with the longest lead, before they stop."""
-    first, last, span = run_range(obs, fc)
-    runs = runs_of(fc)
-    if first is None or span is None:
+    if not obs.times or not fc.leads:
         raise ValueError("no observation or no forecast")
-    ends = add_seconds(F.col("reference_time"), F.lit(span))
-    out = runs.where((F.col("reference_time") >= F.lit(first).cast("timestamp_ntz")) & (ends <= F.lit(last).cast("timestamp_ntz")))
-    if out.isEmpty():
+    span = timedelta(seconds=fc.leads[-1])
+    out = [r for r in fc.runs if obs.times[0] <= r and r + span <= obs.times[-1]]
+    if not out:
         raise ValueError("observations cover no run whole")
     return out
 
 
+def _looked_up(obs: Dataset, own: Axis, axis: Axis, on_missing: str) -> tuple[Dataset, list[datetime]]:
+    """Observations at every lead of the runs that they cover, and those runs."""
+    runs = covered_runs(own, axis)
+    if on_missing == "raise":
+        have = set(own.times)
+        if gap := next((t for r in runs for s in axis.leads if (t := r + timedelta(seconds=s)) not in have), None):
+            raise KeyError(f"no observation at {gap}")
+    start = add_seconds(F.col("valid_time"), -F.col("lead_s"))
+    rows = obs.df.select("*", F.explode(leads_literal(axis.leads)).alias("lead_s")).withColumn("reference_time", start).where(F.col("reference_time").isin(runs))
+    return obs.with_df(rows.select(*_RUN, *obs.df.columns)).with_time(Time.FORECAST), runs
+
+
 def align_observation_forecast(obs: Dataset, fc: Dataset, only_common: bool = False, on_missing: str = "raise") -> tuple[Dataset, Dataset]:
     """Observations looked up at every run and lead; they become a forecast by trait.
 
@@ -141,16 +193,11 @@ def align_observation_forecast(obs: Dataset, fc: Dataset, only_common: bool = Fa
     KeyError; ``on_missing="null"`` gives NULLs instead.  With ``only_common`` both sides are cut,
     else the observations have NULLs for the cut runs and the forecast is whole.
     """
-    runs, leads = covered_runs(obs.df, fc.df), leads_of(fc.df)
-    inner = with_valid_time(runs.crossJoin(leads))
-    if on_missing == "raise":
-        gap = inner.join(times_of(obs.df), "valid_time", "left_anti").select("valid_time").limit(1).collect()  # axes only
-        if gap:
-            raise KeyError(f"no observation at {gap[0][0]}")
-    found = obs.with_df(inner.join(obs.df, "valid_time", "inner").select(*_RUN, *obs.df.columns)).with_time(Time.FORECAST)
+    own, axis = axes_of(obs, fc)
+    found, runs = _looked_up(obs, own, axis, on_missing)
     if only_common:
-        return found, fc.with_df(fc.df.join(runs, "reference_time", "left_semi"))
-    return to_forecast_axis(found, runs_of(fc.df), leads), add_valid_time(fc)
+        return found, fc.with_df(fc.df.where(F.col("reference_time").isin(runs)))
+    return to_forecast_axis(found, axis.runs, axis.leads), add_valid_time(fc)
 
 
 def align_pair(a: Dataset, b: Dataset, **options) -> tuple[Dataset, Dataset]:
@@ -165,19 +212,15 @@ def align_time(datasets: Iterable[Dataset] | dict[str, Dataset], return_as: str
     if return_as != "forecast":
         raise NotImplementedError(f"return_as={return_as!r}")
     sets = list(datasets.values() if isinstance(datasets, dict) else datasets)
-    forecasts, observations = [d for d in sets if d.is_forecast()], [d for d in sets if d.is_observation()]
-    if forecasts:
-        runs, leads = runs_of(forecasts[0].df), leads_of(forecasts[0].df)
-        for d in forecasts[1:]:
-            runs, leads = runs.intersect(runs_of(d.df)), leads.union(leads_of(d.df)).distinct()
-        axis = Dataset(runs.crossJoin(leads), forecasts[0].properties)
-        return [to_forecast_axis(d, runs, leads) if d.is_forecast() else align_observation_forecast(d, axis, on_missing=on_missing)[0] for d in sets]
-    if not observations:
+    if not sets:
         raise ValueError("no dataset to align")
-    times = times_of(observations[0].df)
-    for d in observations[1:]:
-        times = times.union(times_of(d.df)).distinct()
-    return [d.with_df(_on_axis(d, times, ("valid_time",))) for d in observations]
+    axes = axes_of(*sets)
+    forecasts = [x for d, x in zip(sets, axes, strict=True) if d.is_forecast()]
+    if not forecasts:
+        times = _either([x.times for x in axes])
+        return [to_observation_axis(d, times) for d in sets]
+    axis = Axis(tuple(_common([x.runs for x in forecasts])), tuple(_either([x.leads for x in forecasts])))
+    return [to_forecast_axis(d if d.is_forecast() else _looked_up(d, x, axis, on_missing)[0], axis.runs, axis.leads) for d, x in zip(sets, axes, strict=True)]
 
 
 @dataclass(frozen=True)

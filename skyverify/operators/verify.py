@@ -5,25 +5,33 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.metrics import aggregate, is_registered
 from ..model import Dataset
+from .mask import one_frame
 
 
-def pairs(ds: Dataset, ref: Dataset, variables: Iterable[str]) -> DataFrame:
-    """Cells that both have, as ``v__a`` and ``v__b`` for each variable."""
-    return _paired(ds.df, ds.keys, ref, variables)
+def _together(datasets: dict[str, Dataset], names: list[str]) -> DataFrame:
+    """The cells of all datasets after each other; as one masked frame if they are its untouched parts."""
+    frames = [d.extra.get("frame") for d in datasets.values()]
+    if all(f and f[0] is frames[0][0] and f[1] == m and f[2] is d.df for f, (m, d) in zip(frames, datasets.items(), strict=True)):
+        keys = next(iter(datasets.values())).keys
+        return frames[0][0].where(F.col("model").isin(list(datasets))).select("model", *keys, *[F.col(f"`{v}`") for v in names])
+    return one_frame(datasets, names)
 
 
-def _paired(df: DataFrame, keys: Iterable[str], ref: Dataset, variables: Iterable[str], also: Iterable[str] = ()) -> DataFrame:
-    if set(keys) != set(ref.keys):
-        raise ValueError(f"keys differ: {list(keys)} and {list(ref.keys)}")
-    keys, names = list(keys), list(variables)
-    a = df.select(*also, *keys, *[F.col(f"`{v}`").alias(f"{v}__a") for v in names])
-    b = ref.df.select(*keys, *[F.col(f"`{v}`").alias(f"{v}__b") for v in names])
-    return a.join(b, keys, "inner")
+def paired(models: dict[str, Dataset], ref: Dataset, variables: Iterable[str], ref_name: str = "") -> DataFrame:
+    """``model``, keys, and ``v__a`` and ``v__b`` for each variable: cells that a model and the reference both have.
+
+    All datasets are brought together by one exchange by key; a dataset has a cell once.
+    """
+    names, keys = list(variables), list(ref.keys)
+    every = _together({**models, ref_name: ref}, names)
+    own = F.when(F.col("model") == ref_name, F.struct(*[F.col(f"`{v}`") for v in names]))
+    both = every.withColumn("_ref", F.max(own).over(Window.partitionBy(*keys))).where((F.col("model") != ref_name) & F.col("_ref").isNotNull())
+    return both.select("model", *keys, *[F.col(f"`{v}`").alias(f"{v}__a") for v in names], *[F.col(f"_ref.`{v}`").alias(f"{v}__b") for v in names])
 
 
 class Metric:
@@ -50,7 +58,7 @@ class Metric:
         return [k for k in keys if k not in dims]
 
     def columns(self, names: Iterable[str]) -> list[Column]:
-        """The metric of each variable over rows of ``pairs``."""
+        """The metric of each variable over rows of ``paired``."""
         made = []
         for v in names:
             a, b = F.col(f"`{v}__a`"), F.col(f"`{v}__b`")
@@ -59,7 +67,7 @@ class Metric:
 
     def compute(self, ds: Dataset, variables: list[str] | None = None) -> DataFrame:
         names = variables or sorted(set(ds.variables) & set(self.ref.variables))
-        return pairs(ds, self.ref, names).groupBy(*self.rest(ds.keys)).agg(*self.columns(names))
+        return paired({"0": ds}, self.ref, names).groupBy(*self.rest(ds.keys)).agg(*self.columns(names))
 
 
 def verify(forecast: Dataset, observation: Dataset, function: str | Callable, inputs: dict[str, str] | None = None, dim: str | list[str] | None = None, skipna: bool = True) -> DataFrame:
@@ -80,13 +88,9 @@ def stacked_metrics(datasets: dict[str, Dataset], reference: str, metrics: dict[
     models = {model: d for model, d in datasets.items() if model != reference}
     if not models or not metrics:
         raise ValueError("no metric was computed")
-    # all datasets meet the reference in one join, and metrics over the same keys are one aggregate
-    for d in models.values():
-        if set(d.keys) != set(ref.keys):
-            raise ValueError(f"keys differ: {list(d.keys)} and {list(ref.keys)}")
+    # all datasets meet the reference by one exchange, and metrics over the same keys are one aggregate
     keys = list(ref.keys)
-    every = reduce(DataFrame.union, [d.df.select(F.lit(model).alias("model"), *keys, *[F.col(f"`{v}`") for v in names]) for model, d in models.items()])
-    both = _paired(every, keys, ref, names, ["model"])
+    both = paired(models, ref, names, reference)
     together: dict[tuple[str, ...], list[Metric]] = {}
     made = []
     for metric, spec in metrics.items():

@@ -19,7 +19,7 @@ from ..model import Dataset, Properties, Space, Time
 from ..operators import space_alignment as grids
 from ..operators import time_alignment as times
 from ..operators.interpolate import apply_weights, bilinear, interpolate
-from ..operators.mask import broadcast_nulls
+from ..operators.mask import broadcast_nulls, masked_frame
 from ..operators.transform import transform
 from ..operators.verify import Metric, stacked_metrics
 from ..sources.loaders import analysis_dataset, densify, run_dataset, station_places
@@ -98,9 +98,9 @@ def floor_6h(ts: str) -> Column:
     return F.date_trunc("DAY", ts).cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.floor(F.hour(ts) / 6).cast("int") * 6)
 
 
-def _stations(obs: DataFrame) -> DataFrame:
+def _stations(events: DataFrame) -> DataFrame:
     key = F.col("point_index")
-    return obs.select("point_index").distinct().select("point_index", (40 + (key * 37) % 401 / 100).alias("latitude"), ((key * 61) % 401 / 100).alias("longitude"))
+    return events.select(F.col("user_id").alias("point_index")).distinct().select("point_index", (40 + (key * 37) % 401 / 100).alias("latitude"), ((key * 61) % 401 / 100).alias("longitude"))
 
 
 def observations(spark: SparkSession, sf_dir: str) -> Dataset:
@@ -108,7 +108,7 @@ def observations(spark: SparkSession, sf_dir: str) -> Dataset:
     e = table(spark, sf_dir, "events").select(floor_6h("ts").alias("valid_time"), F.col("user_id").alias("point_index"), "event_type", _cents("value").alias("c"))
     kind = F.col("event_type")
     df = e.groupBy("valid_time", "point_index").agg(_mean().alias("value"), _mean(kind == "click").alias("click"), _mean(kind == "view").alias("view"))
-    return Dataset(df, Properties(Space.POINT, Time.OBSERVATION), _stations(df))
+    return Dataset(df, Properties(Space.POINT, Time.OBSERVATION), _stations(table(spark, sf_dir, "events")))
 
 
 def persistence(obs: Dataset, leads_h: list[int], back_h: int, since: str | None = None) -> Dataset:
@@ -116,9 +116,9 @@ def persistence(obs: Dataset, leads_h: list[int], back_h: int, since: str | None
     days = obs.df.select(F.date_trunc("DAY", "valid_time").cast("timestamp_ntz").alias("reference_time")).distinct()
     if since:
         days = days.where(F.col("reference_time") >= F.lit(since).cast("timestamp_ntz"))
-    axis = times.with_valid_time(days.select("reference_time", F.explode(F.array(*[F.lit(3600 * h).cast("long") for h in leads_h])).alias("lead_s")))
-    before = obs.df.withColumn("valid_time", add_seconds(F.col("valid_time"), F.lit(3600 * back_h)))
-    df = axis.join(before, "valid_time").select("reference_time", "lead_s", "point_index", *VARIABLES)
+    leads = F.explode(F.array(*[F.lit(3600 * h).cast("long") for h in leads_h])).alias("lead_s")
+    df = obs.df.select("*", leads).withColumn("reference_time", add_seconds(F.col("valid_time"), F.lit(3600 * back_h) - F.col("lead_s")))
+    df = df.join(F.broadcast(days), "reference_time", "left_semi").select("reference_time", "lead_s", "point_index", *VARIABLES)  # days only
     return Dataset(df, Properties(Space.POINT, Time.FORECAST), obs.places)
 
 
@@ -519,7 +519,8 @@ def aligned(spark, sf_dir) -> dict[str, Dataset]:
 
 @query(_CTE + _THREE + _ALL_SQL + _masked_sql("aligned"))
 def broadcast_missing(spark, sf_dir):
-    return _labelled({k: x.df for k, x in broadcast_nulls(aligned(spark, sf_dir)).items()})
+    out = times.with_valid_time(masked_frame(aligned(spark, sf_dir)))
+    return shown(out.select("model", "reference_time", "lead_s", "point_index", *VARIABLES, "valid_time"))
 
 
 _PAIRS = _CTE + _COVERED + """, pair AS (
