@@ -18,12 +18,12 @@ def _zstd() -> tuple:
 
 
 def pack(*arrays: np.ndarray) -> bytes:
-    """Integer and float arrays, byte by byte and compressed; integers without a negative one take as few bytes as the largest needs."""
+    """Integer and float arrays, byte by byte and compressed.  Floats keep their width; integers without a negative one take as few bytes as the largest needs."""
     out = []
     for a in arrays:
-        kind, wide = (b"f", 8) if a.dtype.kind == "f" else (b"i", 8)
-        if kind == b"f":
-            raw = np.ascontiguousarray(a, "<f8")
+        if a.dtype.kind == "f":
+            kind, wide = b"f", a.dtype.itemsize
+            raw = np.ascontiguousarray(a, f"<f{wide}")
         else:
             low, high = (int(a.min()), int(a.max())) if len(a) else (0, 0)
             wide = 8 if low < 0 else next(w for w in (1, 2, 4, 8) if high < 1 << 8 * w)
@@ -43,5 +43,5 @@ def unpack(data: bytes) -> list[np.ndarray]:
         planes = np.frombuffer(_zstd()[1].decompress(data[at : at + size]), np.uint8).reshape(wide, n)
         at += size
         got = np.ascontiguousarray(planes.T).reshape(-1).view(f"<{kind.decode()}{wide}")
-        out.append(got if kind == b"f" else got.astype(np.int64))
+        out.append(got.astype(np.float64 if kind == b"f" else np.int64))
     return out

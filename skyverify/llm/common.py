@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -44,24 +45,27 @@ def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, by: str | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back, which ends its lineage.
 
     What follows sees the same rows however often it is computed, also after a lost executor.  The
-    shuffle files of the write are deleted when it has ended.
+    shuffle files of the write are deleted when it has ended.  ``by`` makes a folder for each of a
+    column's few values.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
     with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
-        df.write.parquet(path)
+        df.write.partitionBy(*[by] if by else []).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
+    if by:
+        out = out.select(df.columns)
     out.cut_path = path
     return out
 
 
-def drop_cut(df: DataFrame) -> None:
-    """Delete a table of ``cut`` that no later action reads."""
-    jvm, path = df.sparkSession._jvm, df.cut_path
+def drop_cut(df: DataFrame, part: str = "") -> None:
+    """Delete a table of ``cut``, or one folder of it, that no later action reads."""
+    jvm, path = df.sparkSession._jvm, f"{df.cut_path}/{part}"
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
 
@@ -87,9 +91,20 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound the rows of an Arrow batch, since whole texts pass through Python workers."""
+def small_batches(spark: SparkSession, rows: int = 1000, size: int = 4 << 20) -> None:
+    """Bound the rows and bytes of an Arrow batch, since whole texts pass through Python workers.
+
+    A single larger row is a batch.  Plans read these settings when they run, so they stay.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+
+
+def release() -> None:
+    """Give freed memory back to the system, so that a worker that waits for its next task holds little."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def text_of(docs: DataFrame, text: str = "text") -> Column:

@@ -18,28 +18,30 @@ has, with its own count of it in training texts; a bucket of contexts sums the c
 contexts and answers each group in the order that it asked.  A context with more than a bucket's
 share of all places is dealt out over several buckets by next word, and the groups add up its
 divergence.  So neither a frequent word nor the tree ever meets in one place, and nothing but three
-totals reaches the driver.  Words and contexts go by 64-bit hashes, which are taken to be distinct.
+totals reaches the driver.  Words go by 64-bit hashes, contexts by their
+bucket and 48 bits, and both are taken to be distinct.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 from functools import reduce
-from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .blobs import pack, unpack
-from .common import batch, cut, drop_cut, raw_texts, small_batches, text_of
+from .common import batch, cut, drop_cut, release, small_batches, text_of
 
 #: Text bytes of a group, and for each bucket.
 GROUP_BYTES, BUCKET_BYTES = 8_000_000, 4_000_000
+#: Bits that tell a bucket's contexts apart, and the steps of a nat in which groups send their sums.
+NAME, STEPS = (1 << 48) - 1, 1024
 #: Kinds of messages: a group's stream, a depth's answers (from 1 on, for words), and totals.
 STREAM, TOTALS = 0, -1
 _MESSAGES = pa.schema([("grp", pa.int64()), ("kind", pa.int32()), ("part", pa.int64()), ("data", pa.large_binary()), ("a", pa.int64()), ("b", pa.int64())])
@@ -64,47 +66,62 @@ def _rows(kind: int, grp, parts, data) -> pa.RecordBatch:
     return batch(_MESSAGES, [grp, [kind] * len(data), parts, data, [None] * len(data), [None] * len(data)])
 
 
+def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Word numbers of all texts after each other, the number of words of each, and the words by number."""
+    words = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.ascii_lower(texts)))
+    lengths = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+    coded = words.flatten().dictionary_encode()
+    at = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    blank = pc.index(coded.dictionary, "").as_py()  # a text without a word splits into an empty one
+    if blank >= 0:
+        some = at != blank
+        lengths = np.bincount(np.repeat(np.arange(len(lengths)), lengths)[some], minlength=len(lengths))
+        at = at[some]
+    return at, lengths, coded.dictionary
+
+
 def _encoder(buckets: int, group_bytes: int):
     """Streams of groups, and their words for each bucket."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first = TaskContext.get().partitionId() << 32
-        number: defaultdict[bytes, int] = defaultdict(count().__next__)
-        ids, held, streams, size, groups = [], [], [], 0, 0
-
-        def out() -> Iterator[pa.RecordBatch]:
-            nonlocal number, size, groups
-            end = number[b""]  # the end counts as the empty word
-            hashes = np.fromiter(map(xxhash.xxh64_intdigest, number), np.uint64, len(number)).view(np.int64)
-            part = (hashes.view(np.uint64) % np.uint64(buckets)).astype(np.int64)
-            order = np.lexsort((hashes, part))
-            rank = np.empty(len(order), np.int64)
-            rank[order] = np.arange(len(order))
-            hashes, part = hashes[order], part[order]
-            stream = rank[np.concatenate([x for s in streams for x in (s, [end])])]
-            lengths = np.array([len(s) + 1 for s in streams])
-            train = np.repeat(~np.array(held, bool), lengths)
-            n = np.bincount(stream[train], minlength=len(order))
-            starts = np.flatnonzero(np.diff(part, prepend=-1))
-            own = pack(np.array([i or 0 for i in ids]), np.array([i is None for i in ids], np.int64), np.array(held, np.int64), lengths, stream, np.array([rank[end], len(order)]))
-            yield _rows(STREAM, [first + groups], [0], [own])
-            ends = np.r_[starts[1:], len(part)]
-            yield _rows(1, [first + groups] * len(starts), part[starts], [pack(hashes[a:b], n[a:b]) for a, b in zip(starts, ends, strict=True)])
-            number, size, groups = defaultdict(count().__next__), 0, groups + 1
-            for x in (ids, held, streams):
-                x.clear()
+    def group(number: int, ids: pa.Array, held: np.ndarray, texts: pa.Array) -> Iterator[pa.RecordBatch]:
+        at, lengths, words = tokens(texts)
+        words = words.to_pylist()
+        if "" not in words:  # the end counts as the empty word
+            words.append("")
+        end = words.index("")
+        hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)).view(np.int64)
+        part = (hashes.view(np.uint64) % np.uint64(buckets)).astype(np.int64)
+        order = np.lexsort((hashes, part))
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        hashes, part = hashes[order], part[order]
+        stream = rank[np.insert(at, np.cumsum(lengths), end)]
+        n = np.bincount(stream[np.repeat(~held, lengths + 1)], minlength=len(order))
+        starts = np.flatnonzero(np.diff(part, prepend=-1))
+        ends = np.r_[starts[1:], len(part)]
+        null = ids.is_null().to_numpy(zero_copy_only=False).astype(np.int64)
+        yield _rows(STREAM, [number], [0], [pack(ids.fill_null(0).to_numpy(), null, held.astype(np.int64), lengths + 1, stream, np.array([rank[end], len(order)]))])
+        yield _rows(1, [number] * len(starts), part[starts], [pack(hashes[a:b], n[a:b]) for a, b in zip(starts, ends, strict=True)])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, held, size = TaskContext.get().partitionId() << 32, [], 0
         for rows in batches:
-            for i, h, raw in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), raw_texts(rows.column(2)), strict=True):
-                words = raw.lower().split()
-                streams.append(np.fromiter(map(number.__getitem__, words), np.int64, len(words)))
-                ids.append(i)
-                held.append(h)
-                size += len(raw) + 64
+            ends, done = np.cumsum(pc.binary_length(rows.column(2)).to_numpy(zero_copy_only=False).astype(np.int64) + 64), 0
+            while done < rows.num_rows:
+                before = ends[done - 1] if done else 0
+                to = min(int(np.searchsorted(ends, before + group_bytes - size)) + 1, rows.num_rows)
+                held.append(rows.slice(done, to - done))
+                size, done = size + int(ends[to - 1] - before), to
                 if size >= group_bytes:
-                    yield from out()
-        if ids:
-            yield from out()
+                    yield from whole(number, held)
+                    release()
+                    number, held, size = number + 1, [], 0
+        if held:
+            yield from whole(number, held)
+
+    def whole(number: int, held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, out, texts = (pa.concat_arrays([r.column(k) for r in held]) for k in range(3))
+        return group(number, ids, out.to_numpy(zero_copy_only=False), texts.cast(pa.large_string()))
 
     return run
 
@@ -147,6 +164,8 @@ def _tested(depth: int, gain: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for asked in _runs(batches, "part"):
             got = [unpack(data) for *_, data in asked]
+            for g in got:
+                g[0] = np.cumsum(g[0])
             context, pairs, split, sums, word, n = (np.concatenate(x) for x in zip(*got, strict=True))
             contexts, entry = np.unique(context, return_inverse=True)
             of = np.repeat(entry, pairs)
@@ -157,7 +176,7 @@ def _tested(depth: int, gain: float):
             total = np.bincount(at, n, len(distinct))
             owner = distinct // base
             have = np.bincount(owner, total, len(contexts))
-            excess = np.bincount(owner, total * _logs(total), len(contexts)) - np.bincount(entry, sums, len(contexts))
+            excess = np.bincount(owner, total * _logs(total), len(contexts)) + np.bincount(entry, sums, len(contexts)) / STEPS
             kept = (excess - have * _logs(have) >= gain) & (have > 0)
             total = total.astype(np.int64)[at]
             entries, ends = np.cumsum([len(x[0]) for x in got]), np.cumsum([len(x[4]) for x in got])
@@ -174,7 +193,8 @@ class Group:
     def __init__(self, rows: list[tuple], tokens: int, distinct: int, buckets: int, least: int, gain: float, prior: tuple[float, ...]):
         self.tokens, self.buckets, self.gain, self.prior, self.least = tokens, buckets, gain, prior, least
         self.answers = {(kind, part): data for _, kind, part, data in rows if kind > STREAM}
-        ids, null, held, self.lengths, self.word, (end, size) = unpack(next(data for _, kind, _, data in rows if kind == STREAM))
+        ids, null, held, self.lengths, word, (end, size) = unpack(next(data for _, kind, _, data in rows if kind == STREAM))
+        self.word = word.astype(np.int32)
         self.ids, self.held = np.where(null > 0, None, ids), held > 0
         self.first = np.r_[0, np.cumsum(self.lengths)[:-1]]
         self.train = np.repeat(~self.held, self.lengths)
@@ -184,9 +204,8 @@ class Group:
             number, n = unpack(self.answers[1, part])
             self.number[at : at + len(number)], self.count[at : at + len(number)] = number, n
             at += len(number)
-        root = (self.count + 0.1) / (tokens + 0.1 * (distinct + 1))
-        self.p, self.log_suffix = root[self.word], (_logs(self.count) - np.log(max(tokens, 1)))[self.word]
-        self.base = np.log10(self.p)
+        self.root = (self.count + 0.1) / (tokens + 0.1 * (distinct + 1))
+        self.p, self.log_suffix = self.root[self.word], (_logs(self.count) - np.log(max(tokens, 1)))[self.word].astype(np.float32)
         # the pair of each place at the last depth, and each pair's hash and count: at depth zero, the words
         self.pair, self.hash, self.total = self.word, self.number, self.count
         self.able, self.start, self.depth = np.ones(len(self.word), bool), end, 0
@@ -194,67 +213,76 @@ class Group:
     def deepen(self) -> None:
         """Places whose context of the next depth is a candidate, with its number among the group's contexts."""
         self.depth += 1
-        context = np.r_[self.start, self.pair[:-1]]
+        context = np.r_[np.int32(self.start), self.pair[:-1]]
         able = self.able & np.r_[True, self.known[:-1] if self.depth > 1 else np.ones(len(self.word) - 1, bool)]
         if self.depth == 1:
             context[self.first] = self.start
         else:
             able[self.first] = False
-        size = np.zeros(len(context), np.int64)
-        size[able] = self.total[context[able]]
-        self.places = np.flatnonzero(able & (size >= (1 if self.depth == 1 else self.least)))
-        self.contexts, self.context = np.unique(context[self.places], return_inverse=True)
-        self.contexts_hash, self.contexts_total = self.hash[self.contexts], self.total[self.contexts]
-        w = int(self.word.max(initial=0)) + 1
-        pairs, self.at = np.unique(self.context * w + self.word[self.places], return_inverse=True)
-        owner, word = pairs // w, pairs % w
+        able[able] = self.total[context[able]] >= (1 if self.depth == 1 else self.least)
+        self.places = np.flatnonzero(able).astype(np.int32)
+        used = np.zeros(len(self.total), bool)
+        used[context[self.places]] = True
+        contexts = np.flatnonzero(used)
         # a context of more than a bucket's share of all places has several entries
-        parts = np.minimum(self.buckets, -(-self.contexts_total * self.buckets // max(self.tokens, 1)))
-        start = np.cumsum(parts) - parts
-        self.entry_context = np.repeat(np.arange(len(parts)), parts)
-        turn = np.arange(len(self.entry_context)) - start[self.entry_context]
-        bucket = ((_mixed(self.contexts_hash)[self.entry_context].view(np.uint64) >> np.uint64(1)).astype(np.int64) % self.buckets + turn) % self.buckets
-        order = np.lexsort((self.contexts_hash[self.entry_context], bucket))
-        rank = np.empty(len(order), np.int64)
+        parts = np.minimum(self.buckets, -(-self.total[contexts] * self.buckets // max(self.tokens, 1)))
+        self.several = parts > 1
+        owner, first = np.repeat(np.arange(len(parts)), parts), np.cumsum(parts) - parts
+        bucket = (_mixed(self.hash[contexts]).view(np.uint64) >> np.uint64(1)).astype(np.int64)[owner] % self.buckets
+        if len(owner) > len(parts):
+            bucket = (bucket + np.arange(len(owner)) - first[owner]) % self.buckets
+        name = (self.hash[contexts] & NAME)[owner]  # contexts of a bucket go by so many bits
+        order = np.argsort(bucket << 48 | name) if self.buckets < 1 << 15 else np.lexsort((name, bucket))
+        rank = np.empty(len(order), np.int32)
         rank[order] = np.arange(len(order))
-        self.entry_context, self.bucket = self.entry_context[order], bucket[order]
-        self.split = parts[self.entry_context] > 1
-        of = rank[start[owner] + self.number[word] % parts[owner]]
-        self.order = np.lexsort((self.number[word], of))  # pairs as they are asked
-        self.of, self.pair_hash, self.pair_number = of[self.order], _mixed(self.contexts_hash[owner], self.number[word]), self.number[word]
-        self.entries = np.flatnonzero(np.diff(self.bucket, prepend=-1))  # where a bucket's entries begin
+        self.owner, self.bucket, self.name = owner[order], bucket[order], name[order]
+        self.starts = np.flatnonzero(np.diff(self.bucket, prepend=-1))  # where a bucket's entries begin
+        self.ends = np.r_[self.starts, len(self.bucket)][1:].astype(np.int64)
+        relabel = (np.cumsum(used) - 1).astype(np.int32)
+        self.context = relabel[context[self.places]]
+        word = self.word[self.places]
+        if len(owner) > len(parts):
+            turn = np.zeros(len(word), np.int32)
+            wide = np.flatnonzero(self.several[self.context])
+            turn[wide] = self.number[word[wide]] % parts[self.context[wide]]
+            self.entry = rank[first[self.context] + turn]
+        else:
+            self.entry = rank[self.context]
+        bits = max(len(self.number) - 1, 1).bit_length()
+        pairs, at = np.unique(self.entry.astype(np.int64) << bits | word, return_inverse=True)
+        self.at = at.astype(np.int32)
+        of = pairs >> bits
+        self.pairs, self.pair_word = np.bincount(of, minlength=len(self.bucket)), self.number[pairs & (1 << bits) - 1]
+        self.contexts_hash, self.contexts_total = self.hash[contexts], self.total[contexts]
+        self.pair_hash = _mixed(self.contexts_hash[self.owner[of]], self.pair_word)
+        self.split = self.several[self.owner]
 
     def ask(self, grp: int) -> Iterator[pa.RecordBatch]:
         """What the group asks each bucket at this depth."""
         train = self.train[self.places]
-        n = np.bincount(self.at[train], minlength=len(self.order))[self.order]
-        log = np.bincount(self.at[train], self.log_suffix[self.places][train], len(self.order))[self.order]
-        sums = np.bincount(self.of, log, len(self.bucket))
-        pairs = np.bincount(self.of, minlength=len(self.bucket))
-        word, ends = self.pair_number[self.order], np.r_[0, np.cumsum(pairs)]
+        n = np.bincount(self.at[train], minlength=len(self.pair_word))
+        sums = np.bincount(self.entry[train], self.log_suffix[self.places[train]], len(self.bucket))
+        sums = np.rint(-STEPS * sums).astype(np.int64)
+        ends, split = np.r_[0, np.cumsum(self.pairs)], self.split.astype(np.int64)
         data = []
-        for a, b in zip(self.entries, np.r_[self.entries, len(self.bucket)][1:].astype(int), strict=True):
+        for a, b in zip(self.starts, self.ends, strict=True):
             some = slice(ends[a], ends[b])
-            data.append(pack(self.contexts_hash[self.entry_context[a:b]], pairs[a:b], self.split[a:b].astype(np.int64), sums[a:b], word[some], n[some]))
+            data.append(pack(np.diff(self.name[a:b], prepend=0), self.pairs[a:b], split[a:b], sums[a:b], self.pair_word[some], n[some]))
         if data:
-            yield _rows(self.depth + 1, [grp] * len(data), self.bucket[self.entries], data)
+            yield _rows(self.depth + 1, [grp] * len(data), self.bucket[self.starts], data)
 
     def told(self) -> None:
         """Take in the answers of this depth: probabilities of places in retained contexts."""
-        kept, total = np.zeros(len(self.bucket), bool), np.zeros(len(self.order), np.int64)
-        excess, at = np.zeros(len(self.bucket)), 0
-        for a, b in zip(self.entries, np.r_[self.entries, len(self.bucket)][1:].astype(int), strict=True):
-            flags, more, n = unpack(self.answers[self.depth + 1, int(self.bucket[a])])
-            kept[a:b], excess[np.flatnonzero(self.split[a:b]) + a] = flags > 0, more
-            total[self.order[at : at + len(n)]] = n
-            at += len(n)
-        retained = np.zeros(len(self.contexts), bool)
-        retained[self.entry_context[~self.split]] = kept[~self.split]
-        several = np.zeros(len(self.contexts), bool)
-        several[self.entry_context[self.split]] = True
+        got = [unpack(self.answers.pop((self.depth + 1, int(b)))) for b in self.bucket[self.starts]]
+        flags, more, total = (np.concatenate([g[k] for g in got]) if got else np.zeros(0, np.int64) for k in range(3))
+        excess = np.zeros(len(self.bucket))
+        excess[self.split] = more
         have = self.contexts_total
-        divergence = np.bincount(self.entry_context, excess, len(self.contexts)) - have * _logs(have)
-        retained = np.where(several, divergence >= self.gain, retained)
+        retained = np.zeros(len(have), bool)
+        retained[self.owner[~self.split]] = flags[~self.split] > 0
+        if self.several.any():
+            divergence = np.bincount(self.owner, excess, len(have)) - have * _logs(have)
+            retained = np.where(self.several, divergence >= self.gain, retained)
         use = retained[self.context]
         places, n, have = self.places[use], total[self.at[use]], have[self.context[use]]
         m = self.prior[min(self.depth, len(self.prior)) - 1]
@@ -262,13 +290,13 @@ class Group:
         self.log_suffix[places] = _logs(n) - np.log(have)
         self.able, self.known = (np.zeros(len(self.word), bool) for _ in range(2))
         self.able[places], self.known[self.places] = True, True
-        self.pair = np.zeros(len(self.word), np.int64)
+        self.pair = np.zeros(len(self.word), np.int32)
         self.pair[self.places] = self.at
         self.hash, self.total = self.pair_hash, total
 
     def scores(self) -> pa.RecordBatch:
         known = self.count[self.word] > 0
-        sums = [np.add.reduceat(x, self.first) for x in (known.astype(np.int64), self.base, np.log10(self.p))]
+        sums = [np.add.reduceat(x, self.first) for x in (known.astype(np.int64), np.log10(self.root)[self.word], np.log10(self.p))]
         return batch(_SCORES, [self.ids.tolist(), self.held, self.lengths, sums[0], [self.tokens] * len(self.ids), *sums[1:]])
 
 
@@ -281,6 +309,8 @@ def _asker(depth: int, *model):
                 group.told()
                 group.deepen()
             yield from group.ask(rows[0][0])
+            del group
+            release()
 
     return run
 
@@ -293,11 +323,13 @@ def _scorer(depth: int, *model):
                 group.deepen()
                 group.told()
             yield group.scores()
+            del group
+            release()
 
     return run
 
 
-def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", depth: int = 3, least: int = 2, gain: float = 3.0, prior: tuple[float, ...] = (150.0, 10.0), group_bytes: int = GROUP_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", depth: int = 2, least: int = 2, gain: float = 3.0, prior: tuple[float, ...] = (150.0, 10.0), group_bytes: int = GROUP_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every row.
 
     Learns from the rows where ``held_out`` is false.  A null text counts as empty: its only token is
@@ -310,7 +342,7 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     own = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), text_of(docs, text_col).alias("text"))
     size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-size // bucket_bytes))
-    made = cut(own.mapInArrow(_encoder(buckets, group_bytes), _MESSAGES_SQL))
+    made = cut(own.mapInArrow(_encoder(buckets, group_bytes), _MESSAGES_SQL), "kind")
     streams = made.where(F.col("kind") == STREAM)
     tasks = (made.agg(F.max(F.shiftright("grp", 32))).first()[0] or 0) + 1  # groups stay in as many tasks as wrote them
 
@@ -322,6 +354,7 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
         return every.repartitionById(tasks, F.shiftright("grp", 32).cast("int")).sortWithinPartitions("grp")
 
     numbered = cut(by_bucket(made.where("kind = 1")).mapInArrow(_words(buckets), _MESSAGES_SQL))
+    drop_cut(made, "kind=1")
     distinct, tokens = numbered.where(F.col("kind") == TOTALS).agg(F.sum("a"), F.sum("b")).first()
     model = (tokens or 0, distinct or 0, buckets, least, gain, prior)
     answers = [numbered.where("kind = 1")]
