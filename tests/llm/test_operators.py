@@ -143,26 +143,6 @@ def test_components(spark):
     assert got == {x: r for x, r in root.items() if any(x in e and e[0] != e[1] for e in edges)}
 
 
-def test_licenses(spark):
-    rng = random.Random(2)
-    files = [
-        ("a/LICENSE", licenses.TEMPLATES["MIT"]), ("a/x.py", prose(rng, 50)), ("a/b/c/y.py", prose(rng, 50)), ("a/b/LICENSE.txt", licenses.TEMPLATES["GPL-3.0"]),
-        ("a/d/z.py", "# " + licenses.TEMPLATES["Apache-2.0"] + "\n" + prose(rng, 300)), ("a/d/w.py", ""), ("q/v.py", prose(rng, 9)), (None, prose(rng, 9)), ("top", None), ("ab/n.py", "see the version 2.0 of the river"),
-    ]
-    got = {r.path: (r.license, r.origin, r.license_dir) for r in licenses.scan(spark.createDataFrame(files, "p string, text string"), F.col("p")).collect()}
-    none = (None, "none", None)
-    assert got == {
-        "a/LICENSE": ("MIT", "own", None), "a/x.py": ("MIT", "inherited", "a"), "a/b/c/y.py": ("GPL-3.0", "inherited", "a/b"), "a/b/LICENSE.txt": ("GPL-3.0", "own", None),
-        "a/d/z.py": ("Apache-2.0", "own", None), "a/d/w.py": ("MIT", "inherited", "a"), "q/v.py": none, None: none, "top": none, "ab/n.py": none,
-    }
-
-
-def test_license_of_every_template():
-    m = licenses.Matcher(licenses.TEMPLATES, {}, 10)
-    for name, text in licenses.TEMPLATES.items():
-        assert m.line("  * " + text.upper())[0] == name and m.text("x y z\n" + text, 0.75)[0] == name
-
-
 def library(text):
     return Tokenizer.from_file(PATH).encode(text or "", add_special_tokens=False).ids
 
@@ -271,24 +251,6 @@ def test_hypergeometric_has_the_right_distribution():
 PAGE = '<!DOCTYPE html><html lang="en"><head><title>A &amp; B</title><style>p{}</style><script>var t="</p>";</script></head><body><!-- ad --><p>One <b>two</b><br>three &lt;x&gt;</p><a href="/y?a=1&amp;b=2">link</a></body></html>'
 
 
-def test_warc(spark):
-    pages = spark.createDataFrame([(1, "http://e.com/a", PAGE, 5), (2, None, None, 6), (3, "http://e.com/c\r\nX: y", "", 7), (1, "http://e.com/a", PAGE, 5)], "page_id bigint, url string, html string, headers int")
-    resp = warc.responses(pages)
-    rows = warc.derivatives(resp).collect()
-    assert Counter(r.warc_type for r in rows) == {"metadata": 4, "conversion": 4}
-    ids = {r.record_id for r in resp.collect()}
-    assert {r.refers_to for r in rows} == ids and len(ids) == 3
-    one = {r.warc_type: r for r in rows if r.page_id == 1}
-    assert bytes(one["conversion"].block).decode() == "A & B\nOne two\nthree <x>\nlink"
-    assert bytes(one["metadata"].block).decode().split("\r\n")[:2] == ["title: A & B", "language: en"] and b"outlink: /y?a=1&b=2" in one["metadata"].block
-    for r in rows:
-        ((fields, block),) = warc.read_records(warc.record(r.headers, bytes(r.block)))
-        assert block == bytes(r.block) and fields["WARC-Block-Digest"] == warc.digest(block) == r.block_digest
-        assert fields["WARC-Refers-To"] == r.refers_to and fields["WARC-Record-ID"] == r.record_id and "X" not in fields
-    file = b"".join(bytes(r.member) for r in warc.members(warc.derivatives(resp)).collect())
-    assert len(warc.read_records(gzip.decompress(file))) == 8
-
-
 def test_quality(docs, rows):
     b = quality.Bands()
     got = {}
