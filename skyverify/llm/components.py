@@ -41,4 +41,4 @@ def components(edges: DataFrame) -> DataFrame:
         if new == seen:
             break
         seen = new
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select("v", "v").distinct())
+    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -24,8 +24,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, cut, partitions, raw_texts, small_batches
+from .common import batch, cut, drop_cut, join_counted, partitions, raw_texts, small_batches
 from .components import components
+from .jaccard import near_roots
 
 BITS = 64
 #: Bits of a cell: the widest histogram that estimates use.
@@ -292,6 +293,22 @@ def near_edges(distinct: DataFrame, t: int = 3) -> DataFrame:
     return rows.repartition(partitions(spark), *key).sortWithinPartitions(*key).mapInArrow(_verifier(t), "u bigint, v bigint")
 
 
+def linked(fps: DataFrame, t: int = 3) -> DataFrame:
+    """``doc_id, fp, component_id`` of rows of ``fingerprints``: ``component_id`` is the least id reachable over links of at most ``t`` bits.
+
+    A fingerprint or component of many rows gets its result by a bounded broadcast.
+    """
+    distinct = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows")))
+    n, total = distinct.agg(F.count("*"), F.sum("rows")).first()
+    roots = cut(components(near_edges(distinct, t)))
+    of = cut(distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", "rows", F.coalesce("root", "fp").alias("root")))
+    groups = cut(of.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("fps")))
+    named = cut(join_counted(of, groups, ["root"], "fps", n).select("fp", "rows", "component_id"))
+    for x in (distinct, roots, of, groups):
+        drop_cut(x)
+    return join_counted(fps, named, ["fp"], "rows", total or 0).select("doc_id", "fp", "component_id")
+
+
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, t: int = 3) -> DataFrame:
     """``doc_id, fingerprint, component_id`` of every row.
 
@@ -302,8 +319,18 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     small_batches(docs.sparkSession)
     fps = cut(fingerprints(docs, id_col, text_col, width))
-    distinct = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = cut(components(near_edges(distinct, t)))
-    of = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = of.select("fp", "root").join(of.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
-    return fps.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return linked(fps, t).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def near_copies(docs: DataFrame, nr_col: str = "nr", text_col: str = "text", width: int = 5, t: int = 3) -> DataFrame:
+    """``node, root`` of each text that is near another: sets of ``width``-word shingles with a Jaccard similarity of 0.8 or more.
+
+    ``root`` is the least number of the texts that such links join; ``nr_col`` numbers the rows and has
+    no null and no number twice.  A null text counts as empty.  Links of fingerprints of the same
+    shingles bring texts together first, each with the least of its component, and are verified on
+    the whole sets.  At that similarity fingerprints differ by ten bits on average, more than
+    pigeonholes can search, so ``jaccard`` finds the links that are left, without a loss.
+    """
+    small_batches(docs.sparkSession)
+    of = linked(cut(fingerprints(docs, nr_col, text_col, width)), t)
+    return near_roots(docs, of.where("doc_id <> component_id").select(F.col("component_id").alias("u"), F.col("doc_id").alias("v")), nr_col, text_col, width)
