@@ -1,7 +1,7 @@
 """Map projections as column expressions and as plain functions of numbers.
 
 Forward formulas are those of Snyder, Map Projections: A Working Manual (USGS PP 1395); with
-eccentricity 0 they are the spherical ones.
+eccentricity 0 they are the spherical ones.  The orthographic one on an ellipsoid is EPSG's method 9840.
 """
 
 from __future__ import annotations
@@ -12,8 +12,8 @@ from types import SimpleNamespace
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_PLAIN = SimpleNamespace(sin=math.sin, cos=math.cos, tan=math.tan, log=math.log, pow=math.pow, sqrt=math.sqrt, rad=math.radians, wrap=lambda x: (x + 180) % 360 - 180)
-_SPARK = SimpleNamespace(sin=F.sin, cos=F.cos, tan=F.tan, log=F.log, pow=F.pow, sqrt=F.sqrt, rad=F.radians, wrap=lambda x: F.pmod(x + 180, F.lit(360)) - 180)
+_PLAIN = SimpleNamespace(sin=math.sin, cos=math.cos, tan=math.tan, log=math.log, pow=math.pow, sqrt=math.sqrt, rad=math.radians, wrap=lambda x: (x + 180) % 360 - 180, seen=lambda c, v: v if c >= 0 else math.nan)
+_SPARK = SimpleNamespace(sin=F.sin, cos=F.cos, tan=F.tan, log=F.log, pow=F.pow, sqrt=F.sqrt, rad=F.radians, wrap=lambda x: F.pmod(x + 180, F.lit(360)) - 180, seen=lambda c, v: F.when(c >= 0, v))
 _WGS84 = {"semimajor_axis": 6378137.0, "semiminor_axis": 6356752.314245179}
 
 _SPHERE = {"semimajor_axis": 6371229.0, "semiminor_axis": 6371229.0}
@@ -76,8 +76,15 @@ def _project(m: SimpleNamespace, crs: dict, lon, lat):
     if kind == "Mercator":
         return dlon * a, m.log(t_of(m, phi)) * -a
     if kind == "Orthographic":
+        # what lies beyond the horizon has no place on the map
         c, s = math.cos(math.radians(lat0)), math.sin(math.radians(lat0))
-        return m.cos(phi) * m.sin(dlon) * a, (m.sin(phi) * c - m.cos(phi) * m.cos(dlon) * s) * a
+        across, north = m.cos(phi) * m.cos(dlon), m.sin(phi)
+        radius = m.pow(1 - north * north * e2, -0.5) * a if e else a
+        y = (north * c - across * s) * radius
+        if e:
+            y = y + (s * a / math.sqrt(1 - e2 * s * s) - north * radius) * (e2 * c)
+        front = north * s + across * c
+        return m.seen(front, m.cos(phi) * m.sin(dlon) * radius), m.seen(front, y)
 
     def m_of(f):
         return math.cos(f) / math.sqrt(1 - e2 * math.sin(f) ** 2)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 from dataclasses import dataclass
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.projections import PRESETS, project, project_point, resolve_crs
@@ -70,11 +71,11 @@ def stack(ds: Dataset) -> Dataset:
     if is_stacked(ds):
         return ds
     y, x = _pair(ds)
-    axes = {}
-    for c in (y, x):  # the axes, not the cells
-        axes[c] = [r[0] for r in ds.df.select(c).distinct().orderBy(c).collect()]
-    number = lambda c: F.array_position(F.array(*[F.lit(v) for v in axes[c]]), F.col(c)) - 1
-    df = ds.df.withColumn("grid_index", (number(y) * len(axes[x]) + number(x)).cast("long"))
+    nx, df = ds.df.agg(F.countDistinct(x)).first()[0], ds.df
+    for c in (y, x):  # ranks over the axes, which are as long as the grid is wide
+        axis = ds.df.select(c).distinct().select(F.col(c).alias("_at"), (F.row_number().over(Window.orderBy(c)) - 1).cast("long").alias(f"_{c}"))
+        df = df.join(axis, F.col(c) == F.col("_at")).drop("_at")
+    df = df.withColumn("grid_index", F.col(f"_{y}") * nx + F.col(f"_{x}")).drop(f"_{y}", f"_{x}")
     own = [c for c in (y, x, "longitude", "latitude") if c in df.columns]
     places = df.select("grid_index", *dict.fromkeys(own)).dropDuplicates(["grid_index"])
     if ds.places is not None:

@@ -18,7 +18,7 @@ from ..functions.projections import create_crs, project
 from ..model import Dataset, Properties, Space, Time
 from ..operators import space_alignment as grids
 from ..operators import time_alignment as times
-from ..operators.interpolate import apply_weights, bilinear, interpolate
+from ..operators.interpolate import interpolate
 from ..operators.mask import broadcast_nulls, masked_frame
 from ..operators.transform import transform
 from ..operators.verify import Metric, stacked_metrics
@@ -454,9 +454,7 @@ def interp_bilinear(spark, sf_dir):
 
 @query(_FIELD + "," + _CELL_SQL.format(x="longitude", y="(latitude - 40)", frame="points") + _BILINEAR_SQL.format(v="CASE WHEN fx <= 0.5 AND fy <= 0.5 THEN c0.price WHEN fx > 0.5 AND fy <= 0.5 THEN c1.price WHEN fx <= 0.5 THEN c2.price ELSE c3.price END", frame="points"))
 def interp_nearest(spark, sf_dir):
-    source = field(spark, sf_dir)
-    weights, corners = bilinear(source, suppliers(spark, sf_dir), method="nearest")
-    return shown(apply_weights(source, weights, corners))
+    return shown(interpolate(field(spark, sf_dir), suppliers(spark, sf_dir), "nearest").df)
 
 
 _D = 90_000.0

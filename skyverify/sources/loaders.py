@@ -2,22 +2,24 @@
 
 ``cube`` reads any table of cells and infers its traits; ``analysis`` reads long tables of
 (date, variable, member, cell, value); ``runs`` reads forecast runs; ``stations`` reads a SQLite
-table of station records.  All but the last are plain Spark scans, so column selection and filters
-reach the files.  Zarr and NetCDF stores need libraries that this package doesn't require: a loader
-for them registers like any other.
+table of station records.  Tables are plain Spark scans, so column selection and filters reach the
+files; paths that end in ``.nc`` or ``.zarr`` are read as arrays.
 """
 
 from __future__ import annotations
 
 import sqlite3
 from collections.abc import Callable
+from contextlib import closing
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..model import ATTRIBUTES, KEYS, Dataset, Properties, Space, Time, infer_properties, validate, without_nan
 from ..operators.space_alignment import add_crs, add_grid_mapping
+from .arrays import analysis_cells, netcdf_cells, zarr_cells
 
 _LOADERS: dict[str, Callable] = {}
 
@@ -88,10 +90,14 @@ def existing(spark: SparkSession, paths: list[str]) -> list[str]:
 
 
 def scan(spark: SparkSession, paths: list[str], fmt: str | None = None, **options) -> DataFrame:
-    """Parquet, ORC, CSV or JSON by ``fmt`` or the first path's ending."""
+    """Parquet, ORC, CSV, JSON, classic NetCDF or Zarr by ``fmt`` or the first path's ending."""
     if fmt is None:
         end = paths[0].rstrip("/").rpartition(".")[2].lower()
-        fmt = end if end in ("orc", "csv", "json") else "parquet"
+        fmt = end if end in ("orc", "csv", "json", "nc", "zarr") else "parquet"
+    if fmt == "nc":
+        return netcdf_cells(spark, paths)
+    if fmt == "zarr":
+        return reduce(DataFrame.unionByName, [zarr_cells(spark, p) for p in paths])
     if fmt == "csv":
         options = {"header": True, "inferSchema": "schema" not in options} | options
     schema = options.pop("schema", None)
@@ -142,6 +148,10 @@ def cube(spark: SparkSession, paths: list[str], variables: list[str] | None = No
     return Dataset(df, props, table)
 
 
+def _ends(path: str, suffix: str) -> bool:
+    return path.rstrip("/").lower().endswith(suffix)
+
+
 def _missing(name: str):
     raise KeyError(f"no such variable: {name}")
 
@@ -153,7 +163,8 @@ def analysis(spark: SparkSession, paths: list[str], variables: list[str] | None
     Member ``member`` stays and its key goes; forcing variables can't be had.  Without ``variables``
     the names are looked up first, since a pivot needs them.
     """
-    return analysis_dataset(reduce(DataFrame.unionByName, [_ntz(scan(spark, [p], **options)) for p in paths]), variables, member)
+    parts = [analysis_cells(spark, p) if _ends(p, ".zarr") else _ntz(scan(spark, [p], **options)) for p in paths]
+    return analysis_dataset(reduce(DataFrame.unionByName, parts), variables, member)
 
 
 def analysis_dataset(long: DataFrame, variables: list[str] | None = None, member: int = 0) -> Dataset:
@@ -175,7 +186,12 @@ def runs(spark: SparkSession, paths: list[str], variables: list[str] | None = No
     A run is a file, or what shares ``run_column``.  Its first time is the reference time and leads
     count from it.
     """
-    df = _ntz(scan(spark, paths, **options))
+    if run_column is None and _ends(paths[0], ".nc"):
+        df, run_column = netcdf_cells(spark, paths, "run_file"), "run_file"
+    elif run_column is None and _ends(paths[0], ".zarr"):
+        df, run_column = reduce(DataFrame.unionByName, [zarr_cells(spark, p).withColumn("run_file", F.lit(p)) for p in paths]), "run_file"
+    else:
+        df = _ntz(scan(spark, paths, **options))
     if run_column is None:
         df, run_column = df.withColumn("run_file", F.input_file_name()), "run_file"
     return run_dataset(df, run_column, variables)
@@ -217,25 +233,42 @@ def station_dataset(records: DataFrame, dense: bool = True) -> Dataset:
 
 
 @register_loader("stations")
-def stations(spark: SparkSession, paths: list[str], variables: list[str] | None = None, table: str = "SYNOP", dense: bool = True, rows: int = 100_000) -> Dataset:
-    """One SQLite file.  The driver reads it in batches of ``rows``, as no SQLite driver jar is there."""
+def stations(spark: SparkSession, paths: list[str], variables: list[str] | None = None, table: str = "SYNOP", dense: bool = True) -> Dataset:
+    """One SQLite file, of at most 2 GB, which an executor reads."""
     if len(paths) != 1:
         raise NotImplementedError("only one station file at a time")
-    path = paths[0].removeprefix("file://")
     coords = ("SID", "validdate", "lat", "lon", "elev")
-    with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as db:
-        have = [d[0] for d in db.execute(f'SELECT * FROM "{table}" LIMIT 0').description]
-        names = [c for c in have if c not in coords]
-        for v in variables or ():
-            if v not in names:
-                _missing(v)
-        wanted = [*coords, *(variables or names)]
-        cursor = db.execute("SELECT " + ", ".join(f'"{c}"' for c in wanted) + f' FROM "{table}"')
-        code = db.execute(f'SELECT typeof(SID) FROM "{table}" LIMIT 1').fetchone()
-        kind = "string" if code and code[0] == "text" else "bigint"
-        schema = f"SID {kind}, validdate bigint, lat double, lon double, elev double" + "".join(f", `{c}` double" for c in wanted[5:])
-        parts = []
-        while batch := cursor.fetchmany(rows):
-            parts.append(spark.createDataFrame([tuple(None if x is None else x if i < 2 else float(x) for i, x in enumerate(r)) for r in batch], schema))
-    records = reduce(DataFrame.union, parts) if parts else spark.createDataFrame([], schema)
-    return station_dataset(records, dense)
+    file = spark.read.format("binaryFile").load(paths[0]).select("content")
+
+    def opened(data: bytes) -> sqlite3.Connection:
+        db = sqlite3.connect(":memory:")
+        db.deserialize(data)
+        return db
+
+    def describe(batches):
+        for rows in batches:
+            for data in rows.column(0).to_pylist():
+                with closing(opened(data)) as db:
+                    names = [d[0] for d in db.execute(f'SELECT * FROM "{table}" LIMIT 0').description]
+                    kind = db.execute(f'SELECT typeof(SID) FROM "{table}" LIMIT 1').fetchone()
+                yield pa.RecordBatch.from_arrays([pa.array([names]), pa.array([bool(kind and kind[0] == "text")])], names=["names", "text"])
+
+    have, text = file.mapInArrow(describe, "names array<string>, text boolean").first()
+    names = [c for c in have if c not in coords]
+    for v in variables or ():
+        if v not in names:
+            _missing(v)
+    wanted = [*coords, *(variables or names)]
+    types = [pa.string() if text else pa.int64(), pa.int64(), *[pa.float64()] * (len(wanted) - 2)]
+
+    def read(batches):
+        for rows in batches:
+            for data in rows.column(0).to_pylist():
+                with closing(opened(data)) as db:
+                    cursor = db.execute("SELECT " + ", ".join(f'"{c}"' for c in wanted) + f' FROM "{table}"')
+                    while some := cursor.fetchmany(50_000):
+                        columns = zip(*some, strict=True)
+                        yield pa.RecordBatch.from_arrays([pa.array([None if x is None else float(x) for x in c] if t == pa.float64() else c, t) for c, t in zip(columns, types, strict=True)], names=wanted)
+
+    schema = ", ".join(f"`{c}` {'string' if t == pa.string() else 'bigint' if t == pa.int64() else 'double'}" for c, t in zip(wanted, types, strict=True))
+    return station_dataset(without_nan(file.mapInArrow(read, schema), wanted[2:]), dense)

@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import fill
 from ..model import Dataset
+from .arrays import write_netcdf_files, write_zarr
 
-#: Writer names; those of array stores fall back to Parquet, the columnar format that is always there.
-FORMATS = {"to_parquet": "parquet", "to_orc": "orc", "to_csv": "csv", "to_json": "json", "to_netcdf": "parquet", "to_zarr": "parquet"}
+#: Writers of tables by name; ``to_netcdf`` and ``to_zarr`` write arrays.
+FORMATS = {"to_parquet": "parquet", "to_orc": "orc", "to_csv": "csv", "to_json": "json"}
+ARRAYS = ("to_netcdf", "to_zarr")
 
 
 def modal_date(axis: DataFrame, column: str) -> tuple[int, int, int]:
@@ -40,14 +42,31 @@ def dataset_path(template: str, name: str, ds: Dataset) -> str:
 
 def write(method: str, df: DataFrame, path: str, **options) -> None:
     if method not in FORMATS:
-        raise ValueError(f"unknown writer {method!r}; there are {', '.join(sorted(FORMATS))}")
+        raise ValueError(f"unknown writer {method!r}; there are {', '.join([*sorted(FORMATS), *ARRAYS])}, the last two for datasets only")
     mode, by = options.pop("mode", "overwrite"), options.pop("partition_by", [])
     df.write.format(FORMATS[method]).mode(mode).options(**({"header": True} if method == "to_csv" else {}), **options).partitionBy(*([by] if isinstance(by, str) else by)).save(path)
 
 
 def save_dataset(method: str, name: str, ds: Dataset, path: str, **options) -> str:
-    """Write one dataset; the filled-in path comes back."""
+    """Write one dataset; the filled-in path comes back.
+
+    ``to_netcdf`` makes a folder with a classic file for each value of the first key, ``to_zarr`` a
+    store; both take the coordinates of places along.
+    """
     where = dataset_path(path, name, ds)
+    if method in ARRAYS:
+        df, keys = ds.df, [k for k in ds.keys if not k.startswith(("latitude", "longitude"))]
+        if ds.places is not None and ds.space_key:
+            own = [c for c in ("longitude", "latitude") if c in ds.places.columns and c not in df.columns]
+            df = df.join(ds.places.select(ds.space_key, *own), ds.space_key, "left")
+        numbers = [c for c, t in df.dtypes if c in keys or t in ("double", "float", "int", "bigint", "smallint", "tinyint") or t.startswith(("timestamp", "decimal"))]
+        if left := [c for c in df.columns if c not in numbers]:
+            raise ValueError(f"{method} writes numbers and times, not {', '.join(left)}")
+        if method == "to_zarr":
+            write_zarr(df, keys, where)
+        else:
+            write_netcdf_files(df, keys, where)
+        return where
     write(method, ds.df, where, **options)
     return where
 
