@@ -10,7 +10,6 @@ Pieces then get their places by rank: the r-th piece of a length takes that leng
 
 from __future__ import annotations
 
-import heapq
 import zlib
 from array import array
 from collections import Counter
@@ -81,13 +80,9 @@ def plan(hist: dict[int, int], size: int) -> list[tuple[int, tuple[int, ...]]]:
                     left[v] -= n * c
     # best fit of the rest, longest first; equal sequences are handled together
     room: dict[int, list[list]] = {}
-    sizes: list[int] = []
 
     def put(n: int, lengths: tuple[int, ...], free: int) -> None:
-        if free not in room:
-            room[free] = []
-            heapq.heappush(sizes, free)
-        room[free].append([n, lengths])
+        room.setdefault(free, []).append([n, lengths])
 
     for length in range(size - 1, 0, -1):
         n = int(left[length])
