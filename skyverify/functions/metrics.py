@@ -58,6 +58,68 @@ def pearson_r(a: Column, b: Column) -> Column:
     return F.corr(F.when(b.isNotNull(), a), F.when(a.isNotNull(), b))
 
 
+#: Metrics of an ensemble: functions of (array of the members' predictions, reference) for one cell; their mean counts.
+ENSEMBLE: dict[str, Callable[[Column, Column], Column]] = {}
+
+
+def register_ensemble_metric(name: str):
+    """Register a column function of one cell's members and reference under a name."""
+
+    def add(fn):
+        ENSEMBLE[name] = fn
+        return fn
+
+    return add
+
+
+def _total(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda s, x: s + x)
+
+
+def _mean_of(values: Column) -> Column:
+    return F.try_divide(_total(values), F.size(values))
+
+
+@register_ensemble_metric("crps_ensemble")
+def crps_ensemble(members: Column, b: Column) -> Column:
+    """Continuous ranked probability score: mean distance to the reference less half the members' mean distance.
+
+    In ascending order the i-th of m members is subtracted and added m - 1 and i - 1 times, so no
+    pairs are made.
+    """
+    m = F.size(members)
+    ranked = F.transform(F.array_sort(members), lambda x, i: x * (2.0 * i - m + 1))
+    return _mean_of(F.transform(members, lambda x: F.abs(x - b))) - F.try_divide(_total(ranked), m.cast("double") * m)
+
+
+@register_ensemble_metric("spread")
+def spread(members: Column, b: Column) -> Column:
+    """Standard deviation of the members, NULL for one alone."""
+    mean = _mean_of(members)
+    return F.sqrt(F.try_divide(_total(F.transform(members, lambda x: (x - mean) * (x - mean))), F.when(F.size(members) > 1, F.size(members) - 1)))
+
+
+@register_ensemble_metric("ensemble_bias")
+def ensemble_bias(members: Column, b: Column) -> Column:
+    return _mean_of(members) - b
+
+
+@register_ensemble_metric("rank_of_reference")
+def rank_of_reference(members: Column, b: Column) -> Column:
+    """How many members are below the reference; see ``rank_histogram`` for counts."""
+    return F.size(F.filter(members, lambda x: x < b)).cast("double")
+
+
+def brier_score(threshold: float) -> Callable[[Column, Column], Column]:
+    """An ensemble metric: squared error of the share of members above ``threshold``."""
+
+    def score(members: Column, b: Column) -> Column:
+        share = F.try_divide(F.size(F.filter(members, lambda x: x > threshold)), F.size(members))
+        return F.pow(share - F.when(b > threshold, 1.0).otherwise(0.0), 2.0)
+
+    return score
+
+
 def resolve_function(path: str) -> Callable:
     """The function at a dotted path, with a plain error if there is none."""
     module, _, name = path.rpartition(".")

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.metrics import aggregate, is_registered
+from ..functions.metrics import ENSEMBLE, aggregate, is_registered
 from ..model import Dataset
 from .mask import one_frame
 
@@ -70,6 +70,49 @@ class Metric:
         return paired({"0": ds}, self.ref, names).groupBy(*self.rest(ds.keys)).agg(*self.columns(names))
 
 
+def members_of(ensemble: Dataset, variables: Iterable[str]) -> Dataset:
+    """An ensemble with one row for each cell: each variable an array of its members' values, without missing ones."""
+    keys = [k for k in ensemble.keys if k != "member"]
+    arrays = ensemble.df.groupBy(*keys).agg(*[F.collect_list(F.col(f"`{v}`").cast("double")).alias(v) for v in variables])  # as long as the ensemble is large
+    return ensemble.with_df(arrays)
+
+
+def _cells(ensemble: Dataset, ref: Dataset, variables: list[str]) -> DataFrame:
+    """Keys, ``v__a`` (members) and ``v__b`` (reference) of the cells that both have."""
+    made = members_of(ensemble, variables)
+    keys = list(made.keys)
+    if set(keys) != set(ref.keys):
+        raise ValueError(f"keys differ: {keys} and {list(ref.keys)}")
+    a = made.df.select(*keys, *[F.col(f"`{v}`").alias(f"{v}__a") for v in variables])
+    return a.join(ref.df.select(*keys, *[F.col(f"`{v}`").cast("double").alias(f"{v}__b") for v in variables]), keys)
+
+
+def verify_ensemble(ensemble: Dataset, observation: Dataset, function: str | Callable, dim: str | list[str] | None = None, variables: list[str] | None = None) -> DataFrame:
+    """The mean of an ensemble metric over ``dim``: a registered one by name, or a column function of (members, reference).
+
+    Cells without a member's value or without a reference don't count.
+    """
+    names = variables or sorted(set(ensemble.variables) & set(observation.variables))
+    fn = ENSEMBLE[function] if isinstance(function, str) else function
+    both = _cells(ensemble, observation, names)
+    dims = ["lead_s" if d == "lead_time" else d for d in ([dim] if isinstance(dim, str) else dim or observation.keys)]
+    rest = [k for k in observation.keys if k not in dims]
+    scores = []
+    for v in names:
+        a, b = F.col(f"`{v}__a`"), F.col(f"`{v}__b`")
+        scores.append(F.avg(F.when(b.isNotNull() & (F.size(a) > 0), fn(a, b))).alias(v))
+    return both.groupBy(*rest).agg(*scores)
+
+
+def rank_histogram(ensemble: Dataset, observation: Dataset, variable: str, dim: str | list[str] | None = None) -> DataFrame:
+    """``rank, n``, after the keys that remain: how often how many members are below the reference."""
+    dims = [dim] if isinstance(dim, str) else list(dim or observation.keys)
+    rest = [k for k in observation.keys if k not in dims]
+    both = _cells(ensemble, observation, [variable]).where(F.col(f"`{variable}__b`").isNotNull())
+    rank = ENSEMBLE["rank_of_reference"](F.col(f"`{variable}__a`"), F.col(f"`{variable}__b`")).cast("long")
+    return both.groupBy(*rest, rank.alias("rank")).agg(F.count("*").alias("n"))
+
+
 def verify(forecast: Dataset, observation: Dataset, function: str | Callable, inputs: dict[str, str] | None = None, dim: str | list[str] | None = None, skipna: bool = True) -> DataFrame:
     """One metric of one dataset; ``inputs`` uses the names ``forecast`` and ``observation``."""
     bound = {k: "reference" if v == "observation" else v for k, v in (inputs or {"a": "forecast", "b": "observation"}).items()}

@@ -7,18 +7,20 @@ from __future__ import annotations
 
 import sqlite3
 from contextlib import closing
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.dates import Dates, fill, to_seconds
+from ..functions.dates import Dates, add_seconds, fill, to_seconds
+from ..functions.metrics import brier_score
 from ..functions.projections import PRESETS, project_point, resolve_crs
-from ..model import Dataset, Properties, Space, Time, infer_properties
+from ..model import Dataset, Properties, Space, Time, Uncertainty, infer_properties
 from ..operators import interpolate as interpolate_sets
 from ..operators import space_alignment as grids
 from ..operators.interpolate import available_interpolations, delaunay, register_interpolator
 from ..operators.transform import available_transformations, register_transformation, transform
-from ..operators.verify import Metric, verify
+from ..operators.verify import Metric, rank_histogram, verify, verify_ensemble
 from ..sources.arrays import _hadoop
 from ..sources.loaders import available_loaders, load, register_loader
 from ..sources.sinks import save_dataset, save_metrics, save_sets
@@ -304,6 +306,44 @@ def metric_own_function(spark, sf_dir):
     return parts[0].union(parts[1])
 
 
+_MEMBERS = _CTE + """, ens AS (
+  SELECT reference_time, lead_s, point_index, back AS member, value FROM days CROSS JOIN (SELECT unnest([0, 21600, 43200])::BIGINT AS lead_s) CROSS JOIN (SELECT unnest([24, 48, 72, 96]) AS back)
+  JOIN obs ON obs.valid_time + to_hours(back) = reference_time + to_seconds(lead_s)),
+cell AS (SELECT e.lead_s, e.reference_time, e.point_index, list_sort(list(e.value)) AS m, any_value(o2.value) AS y FROM ens e JOIN obs o2 ON o2.valid_time = e.reference_time + to_seconds(e.lead_s) AND o2.point_index = e.point_index WHERE e.value IS NOT NULL AND o2.value IS NOT NULL GROUP BY ALL),
+score AS (SELECT lead_s, list_avg(list_transform(m, lambda x: abs(x - y))) - list_sum(list_transform(range(1, len(m) + 1), lambda i: m[i] * (2 * i - len(m) - 1))) / (len(m) * len(m)) AS crps,
+  list_stddev_samp(m) AS spread, len(list_filter(m, lambda x: x < y)) AS below, pow(len(list_filter(m, lambda x: x > 250)) / len(m) - CASE WHEN y > 250 THEN 1 ELSE 0 END, 2) AS brier FROM cell)
+"""
+
+
+def ensemble(spark, sf_dir) -> tuple[Dataset, Dataset]:
+    """Four members, each what was observed a number of days before; and the observations on their axes."""
+    obs = three(spark, sf_dir)["obs"]
+    parts = []
+    for back in (24, 48, 72, 96):
+        fc = base.persistence(obs, [0, 6, 12], back)
+        parts.append(fc.df.select("reference_time", "lead_s", F.lit(back).alias("member"), "point_index", "value"))
+    every = Dataset(reduce(DataFrame.union, parts), Properties(Space.POINT, Time.FORECAST, Uncertainty.ENSEMBLE), obs.places)
+    lead = F.explode(F.array(*[F.lit(3600 * h).cast("long") for h in (0, 6, 12)])).alias("lead_s")
+    there = obs.df.select("*", lead).withColumn("reference_time", add_seconds(F.col("valid_time"), -F.col("lead_s")))
+    return every, Dataset(there.select("reference_time", "lead_s", "point_index", "value"), Properties(Space.POINT, Time.FORECAST), obs.places)
+
+
+@query(_MEMBERS + "SELECT lead_s, floor(avg(crps) * 1e6 + 0.5) / 1e6 AS crps, floor(avg(spread) * 1e6 + 0.5) / 1e6 AS spread, floor(avg(brier) * 1e6 + 0.5) / 1e6 AS brier FROM score GROUP BY lead_s")
+def ensemble_scores(spark, sf_dir):
+    fc, obs = ensemble(spark, sf_dir)
+    dim, out = ["reference_time", "point_index"], None
+    for name, fn in (("crps", "crps_ensemble"), ("spread", "spread"), ("brier", brier_score(250.0))):
+        one = verify_ensemble(fc, obs, fn, dim).select("lead_s", cut6(F.col("value")).alias(name))
+        out = one if out is None else out.join(one, "lead_s")
+    return out
+
+
+@query(_MEMBERS + "SELECT lead_s, below AS rank, count(*) AS n FROM score GROUP BY ALL")
+def ensemble_ranks(spark, sf_dir):
+    fc, obs = ensemble(spark, sf_dir)
+    return rank_histogram(fc, obs, "value", ["reference_time", "point_index"])
+
+
 @query(_CTE + "SELECT 'day' AS model, CAST(reference_time AS VARCHAR) AS reference_time, lead_s, point_index, value FROM fc1 UNION ALL SELECT 'two_days', CAST(reference_time AS VARCHAR), lead_s, point_index, value FROM fc2")
 def save_all_sets(spark, sf_dir):
     """One output for each dataset, in another format."""
