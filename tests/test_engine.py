@@ -1,5 +1,6 @@
 """The engine on hand-made cubes, its error paths, and every registered query against DuckDB."""
 
+import re
 import shutil
 import sqlite3
 from collections import Counter
@@ -218,3 +219,12 @@ def test_query_matches_sql(spark, name):
 
 def test_contract():
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+@pytest.mark.parametrize(("name", "scans", "exchanges"), [("align_obs_fc", 2, 4), ("align_time_three", 8, 10), ("broadcast_missing", 8, 10), ("metrics_stacked", 8, 12), ("metric_rmse", 3, 6)])
+def test_plans_restate_nothing(spark, name, scans, exchanges):
+    """A dataset's source is read for its cells and for its places, and all datasets meet by one exchange."""
+    plan = registered.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") <= scans
+    assert len(re.findall(r"(?<!Broadcast)Exchange (?:hash|range|Single|RoundRobin)", plan)) <= exchanges
+    assert "NestedLoop" not in plan and "CartesianProduct" not in plan
