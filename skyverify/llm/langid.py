@@ -142,15 +142,17 @@ def fit_model(texts: list[str], langs: list[str], landmarks: int = 64, ridge: fl
     return Model(names, known, table, middle - center @ solved, list(common), np.array(level))
 
 
-def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", per_lang: int = 400, landmarks: int = 64, seed: int = 3) -> Model | None:
+def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", per_lang: int = 400, landmarks: int = 64, seed: int = 3, max_bytes: int = 100_000) -> Model | None:
     """Fit on a sample of ``per_lang`` distinct texts of each language, or all that it has: those of least hash.
 
-    The sample is all that reaches the driver.  Rows without text or language aren't used, equal
-    texts count once, and None comes back if nothing is left.
+    The sample is all that reaches the driver.  Texts of more than ``max_bytes`` are taken only where
+    a language has too few others.  Rows without text or language aren't used, equal texts count
+    once, and None comes back if nothing is left.
     """
-    rows = train.select(train[text_col].cast("string").alias("text"), train[lang_col].cast("string").alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL").withColumn("h", F.xxhash64(F.lit(seed), "text"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))  # limited to per_lang within each task first
-    last = {r["lang"]: r["h"] for r in rows.select("lang", "h").distinct().withColumn("rank", rank).where(F.col("rank") <= per_lang).groupBy("lang").agg(F.max("h").alias("h")).collect()}
+    rows = train.select(train[text_col].cast("string").alias("text"), train[lang_col].cast("string").alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
+    # a language's order: texts of moderate size by hash, then the others by hash
+    rows = rows.withColumn("h", F.shiftrightunsigned(F.xxhash64(F.lit(seed), "text"), 2) + F.when(F.octet_length("text") > max_bytes, F.lit(1 << 62)).otherwise(F.lit(0)))
+    last = _last_hashes(rows.select("lang", "h"), per_lang)
     if not last:
         return None
     limit = F.create_map(*[F.lit(v) for x, h in last.items() for v in (x, h)])
@@ -159,6 +161,28 @@ def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", per_la
     return fit_model([r["text"] for r in got], [r["lang"] for r in got], landmarks)
 
 
+def _last_hashes(rows: DataFrame, per_lang: int) -> dict[str, int]:
+    """The ``per_lang``-th distinct ``h`` of each ``lang``, or its last one.
+
+    Only hashes under a bound meet by language: one that leaves a few times ``per_lang`` of them, by
+    an estimate of how many there are.  Languages that it leaves too few of take part without it.
+    """
+    counts = {r["lang"]: (r["n"], r["high"]) for r in rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n"), F.max("h").alias("high")).collect()}  # a row for each language
+    bounds = {x: int(min(3 * per_lang / n, 1.0) * (1 << 62)) if n > 3 * per_lang else high for x, (n, high) in counts.items()}
+    out: dict[str, int] = {}
+    for whole in (False, True):
+        left = {x: counts[x][1] if whole else b for x, b in bounds.items() if x not in out}
+        if not left:
+            break
+        limit = F.create_map(*[F.lit(v) for x, b in left.items() for v in (x, b)])
+        rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))  # limited to per_lang within each task first
+        some = rows.where(F.col("lang").isin(list(left)) & (F.col("h") <= limit[F.col("lang")])).distinct().withColumn("rank", rank).where(F.col("rank") <= per_lang)
+        for r in some.groupBy("lang").agg(F.max("h").alias("h"), F.count("*").alias("n")).collect():
+            if whole or r["n"] == per_lang or left[r["lang"]] >= counts[r["lang"]][1]:
+                out[r["lang"]] = r["h"]
+    return out
+
+
 def prediction(text: Column, model: Model | None, spark: SparkSession) -> Column:
     """A struct ``lang_pred, score, known`` for each text; see ``predict`` and ``keep_known``."""
     shared = spark.sparkContext.broadcast(model)  # of fixed size for each language

@@ -50,3 +50,50 @@ def test_languages_of_other_scripts_are_told_apart():
     test = [(make(x, 12), x) for x in words for _ in range(10)]
     got = model.scores([langid.Features()(t) for t, _ in test]).argmax(axis=1)
     assert [model.langs[k] for k in got] == [x for _, x in test]
+
+
+def test_fit_is_kernel_ridge_regression_in_the_landmarks_map():
+    import numpy as np
+
+    rng = random.Random(2)
+    vocab = {"en": ["the", "and", "thing", "with", "which"], "de": ["der", "und", "nicht", "schön", "straße"], "fr": ["le", "où", "être", "français", "mais"]}
+    make = lambda x: " ".join(rng.choice(vocab[x]) for _ in range(rng.randrange(1, 9)))
+    pairs = [(make(x), x) for x in vocab for _ in range({"en": 30, "de": 18, "fr": 9}[x])]
+    model = langid.fit_model(*zip(*pairs, strict=True), landmarks=5, ridge=0.5)
+
+    def grams(text):  # what isn't a letter is one symbol
+        t = [c if c.isalpha() else " " for c in text.lower()]
+        return {tuple(t[k : k + n]) for n in (1, 2, 3) for k in range(len(t) - n + 1)}
+
+    kernel = lambda a, b: len(a & b) / (len(a) * len(b)) ** 0.5
+    names = sorted(vocab)
+    marks = [grams(t) for x in names for t in [t for t, y in pairs if y == x][:5]]
+    within = np.array([[kernel(a, b) for b in marks] for a in marks])
+    to = lambda texts: np.array([[kernel(grams(t), m) for m in marks] for t in texts])
+    value, vector = np.linalg.eigh(within)
+    use = value > 1e-6 * value[-1]
+    root = vector[:, use] / np.sqrt(value[use])
+    x, y = to([t for t, _ in pairs]) @ root, np.array([[1.0 if z == n else -1.0 for n in names] for _, z in pairs])
+    weight = np.array([1 / sum(z == w for _, w in pairs) for _, z in pairs])
+    weight /= weight.sum()
+    x0, y0 = weight @ x, weight @ y
+    gram = (x - x0).T @ ((x - x0) * weight[:, None]) + 0.5 / len(pairs) * np.eye(x.shape[1])
+    solved = np.linalg.solve(gram, (x - x0).T @ ((y - y0) * weight[:, None]))
+    tests = [make(x) for x in vocab for _ in range(9)] + ["xyz", "1 2 the", "ü"]
+    want = (to(tests) @ root - x0) @ solved + y0
+    assert np.allclose(model.scores([langid.Features()(t) for t in tests]), want, atol=2e-4)
+
+
+def test_long_texts_are_taken_last(spark, monkeypatch):
+    got = []
+    monkeypatch.setattr(langid, "fit_model", lambda texts, langs, landmarks: got.append(list(zip(texts, langs, strict=True))))
+    rows = [(f"long {k} " * 50, "en") for k in range(40)] + [(f"short {k}", "en") for k in range(20)] + [(f"lang {k} " * 50, "de") for k in range(9)]
+    langid.fit(spark.createDataFrame(rows, "text string, lang string"), per_lang=25, max_bytes=100)
+    assert sum(t.startswith("short") for t, _ in got[0]) == 20 and sum(x == "en" for _, x in got[0]) == 25 and sum(x == "de" for _, x in got[0]) == 9
+
+
+def test_bounded_ranks_are_those_of_all_hashes(spark):
+    rng = random.Random(6)
+    rows = [("a", rng.randrange(1 << 62)) for _ in range(5000)] * 2 + [("b", rng.randrange(1 << 62)) for _ in range(20)] + [("c", (1 << 62) + rng.randrange(1 << 40)) for _ in range(3000)]
+    got = langid._last_hashes(spark.createDataFrame(rows, "lang string, h bigint").repartition(4), 50)
+    assert got == {x: sorted({h for y, h in rows if y == x})[:50][-1] for x in "abc"}
