@@ -23,11 +23,18 @@ _KEPT: dict[tuple, tuple[DataFrame, int]] = {}
 KEEP = 8
 
 
-def register_interpolator(name: str):
-    """Register a function of (source, target, **options) that gives (``point_index, corner, grid_index, w``, corners for each point)."""
+#: Space traits that a method goes from and to.
+_TRAITS: dict[str, tuple[Space, Space]] = {}
+
+
+def register_interpolator(name: str, source: Space = Space.GRID, target: Space = Space.POINT):
+    """Register a function of (source, target, **options) that gives (``point_index, corner, grid_index, w``, corners for each point).
+
+    ``source`` and ``target`` are the space traits of datasets that it takes.
+    """
 
     def add(fn):
-        _METHODS[name] = fn
+        _METHODS[name], _TRAITS[name] = fn, (source, target)
         return fn
 
     return add
@@ -280,6 +287,9 @@ def _weights(source: Dataset, target: Dataset, method: str, options: dict) -> tu
 def interpolate_one(source: Dataset, target: Dataset, method: str = "bilinear", **options) -> Dataset:
     if method not in _METHODS:
         raise ValueError(f"unknown interpolation {method!r}; there are {', '.join(available_interpolations())}")
+    given, wanted = (source.properties.space, target.properties.space), _TRAITS.get(method, (Space.GRID, Space.POINT))
+    if given != wanted:
+        raise ValueError(f"{method} goes from {wanted[0]} to {wanted[1]}, not from {given[0]} to {given[1]}")
     if source.space_key != "grid_index":
         raise ValueError("the grid must be stacked to grid_index")
     weights, corners = _weights(source, target, method, options)

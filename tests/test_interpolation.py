@@ -114,6 +114,8 @@ def test_uneven_axes_and_nearest(spark):
     assert near[2] == 2 * 2.0 + 3 * 5.5 and near[3] == 2 * 10 + 3 * 90.0 and near[5] is None
     with pytest.raises(ValueError):
         interpolate(grid(spark, lat[1:], lon[1:]), points(spark, *q.T))
+    with pytest.raises(ValueError, match="from grid to point"):
+        interpolate(points(spark, *q.T), points(spark, *q.T))
     with pytest.raises(ValueError):
         module.delaunay(grid(spark, lat, lon), points(spark, *q.T), method="cubic")
 
