@@ -11,10 +11,26 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own: list[str] = []
+#: Tables of ``cut`` that are still there; results may read them, so they go when the driver ends.
+_tables: set[str] = set()
+
+
+def _delete(jvm, conf, path: str) -> None:
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(conf).delete(where, True)
+
+
+@atexit.register
+def _sweep() -> None:
+    jvm = SparkContext._jvm
+    for path in list(_tables) if jvm is not None else []:
+        with contextlib.suppress(Exception):  # the store or the JVM may be gone before
+            _delete(jvm, jvm.org.apache.hadoop.conf.Configuration(), path)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -49,8 +65,8 @@ def cut(df: DataFrame, by: str | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back, which ends its lineage.
 
     What follows sees the same rows however often it is computed, also after a lost executor.  The
-    shuffle files of the write are deleted when it has ended.  ``by`` makes a folder for each of a
-    column's few values.
+    shuffle files of the write are deleted when it has ended, the table itself by ``drop_cut`` or
+    when the driver ends.  ``by`` makes a folder for each of a column's few values.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
@@ -60,14 +76,16 @@ def cut(df: DataFrame, by: str | None = None) -> DataFrame:
     if by:
         out = out.select(df.columns)
     out.cut_path = path
+    _tables.add(path)
     return out
 
 
 def drop_cut(df: DataFrame, part: str = "") -> None:
     """Delete a table of ``cut``, or one folder of it, that no later action reads."""
-    jvm, path = df.sparkSession._jvm, f"{df.cut_path}/{part}"
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+    spark = df.sparkSession
+    _delete(spark._jvm, spark._jsparkSession.sessionState().newHadoopConf(), f"{df.cut_path}/{part}")
+    if not part:
+        _tables.discard(df.cut_path)
 
 
 #: A key that holds at least one in so many rows is frequent, so there are no more frequent keys than this.

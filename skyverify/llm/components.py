@@ -8,17 +8,30 @@ from pyspark.sql import functions as F
 from .common import cut, drop_cut
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+#: Rows of a task that writes a round's table, so that small tables take few tasks.
+ROWS = 20_000
+
+
+def _written(df: DataFrame, rows: int) -> DataFrame:
+    return cut(df.coalesce(max(2, -(-rows // ROWS))))
+
+
+def _least(edges: DataFrame, rows: int) -> DataFrame:
+    """The least neighbour ``m`` of each ``u``, written: joins with it then have plain sides, of which skewed ones are split."""
+    return _written(edges.groupBy("u").agg(F.min("v").alias("m")), rows)
+
+
+def _large_star(edges: DataFrame, rows: int, used: list[DataFrame]) -> DataFrame:
     both = edges.union(edges.select("v", "u"))
-    least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    used.append(_least(both, 2 * rows))
+    return both.where("v > u").join(used[-1], "u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, rows: int, used: list[DataFrame]) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
+    used.append(_least(down, rows))
+    moved = down.join(used[-1], "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return moved.union(used[-1].select("u", F.col("m").alias("v"))).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -34,9 +47,13 @@ def components(edges: DataFrame) -> DataFrame:
     now = cut(edges.where("u <> v").select("u", "v").distinct())
     seen = sum_of(now)
     while seen[0]:
-        after = cut(_small_star(_large_star(now)))
+        used: list[DataFrame] = [now]
+        rows = seen[0]
+        wide = _written(_large_star(now, rows, used), rows)
+        after = _written(_small_star(wide, rows, used), rows)
         new = sum_of(after)
-        drop_cut(now)
+        for x in (*used, wide):
+            drop_cut(x)
         now = after
         if new == seen:
             break

@@ -9,7 +9,8 @@ values within the threshold, and candidates are verified on all 64 bits.
 
 Only distinct fingerprints take part.  The histograms behind the estimates are of fixed size.  A
 bucket that is expected to be large is dealt out as pairs of blocks, each a task of bounded memory;
-every pair still meets.  A task joins the links it verifies into stars, so that what leaves it is
+every pair still meets.  One that is large against expectation is searched by further groups of bits
+where it is.  A task joins the links it verifies into stars, so that what leaves it is
 linear in what it read, and connectivity is kept exactly.
 """
 
@@ -254,6 +255,21 @@ def link_stars(bucket: np.ndarray, fps: np.ndarray, t: int) -> tuple[np.ndarray,
     return fps[moved], fps[label[moved]]
 
 
+def links_of(bucket: np.ndarray, fps: np.ndarray, t: int, crowd: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
+    """``link_stars``; a bucket of more than ``crowd`` is searched by each of t + 1 groups of bits, one of which two linked ones share."""
+    change = np.flatnonzero(np.diff(bucket, prepend=bucket[0] - 1, append=bucket[-1] + 1))
+    large = np.repeat(np.diff(change) > crowd, np.diff(change))
+    found = [link_stars(bucket[~large], fps[~large], t)]
+    some, owner = fps[large], bucket[large]
+    for k in range(t + 1 if len(some) else 0):
+        low, high = BITS * k // (t + 1), BITS * (k + 1) // (t + 1)
+        key = (some.view(np.uint64) >> np.uint64(low)) & np.uint64((1 << high - low) - 1)
+        order = np.lexsort((key, owner))
+        turn = (np.diff(key[order], prepend=key[order[0]]) != 0) | (np.diff(owner[order], prepend=owner[order[0]]) != 0)
+        found.append(link_stars(np.cumsum(turn), some[order], t))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
 def _verifier(t: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = None
@@ -265,10 +281,10 @@ def _verifier(t: int):
             if not len(change):
                 continue
             end = change[-1] + 1
-            yield batch(_EDGES, link_stars(np.searchsorted(change, np.arange(end)), keep[3][:end], t))
+            yield batch(_EDGES, links_of(np.searchsorted(change, np.arange(end)), keep[3][:end], t))
             keep = [x[end:].copy() for x in keep]
         if keep is not None and len(keep[3]):
-            yield batch(_EDGES, link_stars(np.zeros(len(keep[3]), np.int64), keep[3], t))
+            yield batch(_EDGES, links_of(np.zeros(len(keep[3]), np.int64), keep[3], t))
 
     return run
 

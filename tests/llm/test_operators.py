@@ -1,6 +1,5 @@
 """Each operator against a brute-force version, on a fixture with every awkward case."""
 
-import gzip
 import hashlib
 import random
 import zlib
@@ -132,6 +131,29 @@ def test_simhash_other_part_counts():
             assert abs(best - sum(cost[p, chosen[p, k] + 1, k] for p in range(m))) < 1e-6
 
 
+@pytest.mark.parametrize("crowd", [1, 7, 10**6])
+def test_crowded_buckets_match_all_pairs(crowd):
+    rng = np.random.default_rng(crowd)
+    base = rng.integers(0, 2**63, 30, dtype=np.int64).view(np.uint64)
+    fps = base[rng.integers(0, 30, 400)]
+    for _ in range(6):
+        fps = fps ^ (np.uint64(1) << rng.integers(0, 64, 400).astype(np.uint64)) * rng.integers(0, 2, 400).astype(np.uint64)
+    fps = np.unique(fps)
+    bucket = np.sort(rng.integers(0, 3, len(fps)))
+    root = {}
+    find = lambda x: x if root.setdefault(x, x) == x else find(root[x])
+    want = {(a, b) for a in range(len(fps)) for b in range(a) if bucket[a] == bucket[b] and int(fps[a] ^ fps[b]).bit_count() <= 3}
+    for a, b in want:
+        root[find(int(fps[a].astype(np.int64)))] = find(int(fps[b].astype(np.int64)))
+    u, v = simhash.links_of(bucket, fps.view(np.int64), 3, crowd)
+    mine = {}
+    seek = lambda x: x if mine.setdefault(x, x) == x else seek(mine[x])
+    for a, b in zip(u.tolist(), v.tolist(), strict=True):
+        mine[seek(a)] = seek(b)
+    groups = lambda r, f: sorted(sorted(y for y in r if f(y) == x) for x in {f(y) for y in list(r)})
+    assert len(want) > 100 and groups(root, find) == groups(mine, seek)
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(k, k + 1) for k in range(100, 160)] + [(rng.randrange(40), rng.randrange(40)) for _ in range(25)] + [(500, k) for k in range(501, 700)]
@@ -228,6 +250,25 @@ def test_sharding(docs, rows):
     assert got == sharding.shard(docs, shards=4).collect() or Counter(got) == Counter(sharding.shard(docs, shards=4).collect())
 
 
+def test_sharding_is_the_matrix_replayed(docs):
+    """Plain permutations of each partition, dealt out by the matrix, and of each shard."""
+    h = lambda seed: F.xxhash64(F.lit(seed), F.monotonically_increasing_id())
+    rows = docs.select("doc_id", "text", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("nr"), h(7).alias("h1"), h(8).alias("h2")).collect()
+    rng, parts = random.Random(7), sorted({r.part for r in rows})
+    sizes = [len(rows) // 5 + (k < len(rows) % 5) for k in range(5)]
+    rng.shuffle(sizes)
+    matrix = sharding.communication_matrix(rng, [sum(r.part == p for r in rows) for p in parts], sizes)
+    assert len(parts) > 1 and [sum(c) for c in zip(*matrix, strict=True)] == sizes
+    received = [[] for _ in range(5)]
+    for p, line in zip(parts, matrix, strict=True):
+        own = iter(sorted((r for r in rows if r.part == p), key=lambda r: (r.h1, r.nr)))
+        for k, n in enumerate(line):
+            received[k] += [next(own) for _ in range(n)]
+    want = [(r.doc_id, len((r.text or "").encode()) + 8, zlib.crc32((r.text or "").encode()), k, slot) for k, some in enumerate(received) for slot, r in enumerate(sorted(some, key=lambda r: (r.h2, r.nr)))]
+    got = [(r.doc_id, r.size, r.text_crc32, r.shard, r.slot) for r in sharding.shard(docs, shards=5).collect()]
+    assert Counter(got) == Counter(want)
+
+
 def test_sharding_in_several_windows(spark, monkeypatch):
     monkeypatch.setattr(sharding, "WINDOW_ROWS", 20)
     got = sharding.shard(spark.range(1000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text")), shards=3).collect()
@@ -248,9 +289,6 @@ def test_hypergeometric_has_the_right_distribution():
     assert [sum(x) for x in m] == [5, 0, 17, 3] and [sum(c) for c in zip(*m, strict=True)] == [9, 8, 8]
 
 
-PAGE = '<!DOCTYPE html><html lang="en"><head><title>A &amp; B</title><style>p{}</style><script>var t="</p>";</script></head><body><!-- ad --><p>One <b>two</b><br>three &lt;x&gt;</p><a href="/y?a=1&amp;b=2">link</a></body></html>'
-
-
 def test_quality(docs, rows):
     b = quality.Bands()
     got = {}
@@ -290,9 +328,6 @@ def test_langid(spark):
     assert all(got[k].lang_pred == x for k, _, x in test[:60]) and got[None].lang_pred == "de"
     assert all(got[k].lang_pred == "und" and got[k].score == 0 for k in (100, 101, 102)) and got[103].lang_pred in vocab
     assert all(0 <= r.score <= 1 for r in got.values())
-    # the weights are those of kernel ridge regression in the Nystroem map: compare with kernels written out
-    grams = lambda t: {t.lower()[k : k + n] for n in (1, 2, 3) for k in range(len(t) - n + 1)}
-    assert langid.Features([ord(c) for c in "abc"])("abab").size == len(grams("abab"))
     assert langid.fit(train.where("false")) is None
     assert {r.lang_pred for r in langid.predict(spark.createDataFrame(test, "doc_id bigint, text string, lang string"), None).collect()} == {"und"}
 
