@@ -343,3 +343,25 @@ def test_empty_tables(empty):
     assert quality.quality(empty).count() == 0
     assert langid.predict(empty, langid.fit(empty)).count() == 0
     assert warc.derivatives(warc.responses(empty, "doc_id", "source", "text")).count() == 0
+
+
+def test_half_of_all_rows_alike(spark, tmp_path):
+    """One text, one word and one block in half of all rows."""
+    rng = random.Random(3)
+    texts = ["the same text again and again " * 3] * 600 + ["the " * rng.randrange(1, 40) + prose(rng, rng.randrange(5, 40)) for _ in range(600)]
+    rng.shuffle(texts)
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(6).write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    groups = defaultdict(list)
+    for k, t in enumerate(texts):
+        groups[t].append(k)
+    assert {(r.doc_id, r.keep_id, r.group_size) for r in exact_dedup.exact_dedup(docs, block_bytes=16).collect()} == {(k, max(g), len(g)) for g in groups.values() for k in g}
+    got = {r.doc_id: (int(r.fingerprint, 16), r.component_id) for r in simhash.near_dedup(docs).collect()}
+    assert got.keys() == set(range(1200)) and all(got[k][0] == brute_fingerprint(t) for t, g in groups.items() for k in g[:1])
+    assert all(len({got[k] for k in g}) == 1 and got[g[0]][1] <= min(g) for g in groups.values())
+    roots = {r.node: r.root for r in simhash.near_copies(docs, "doc_id").collect()}
+    assert all(roots.get(k, k) == min(roots.get(x, x) for x in g) for g in groups.values() for k in g)
+    scores = {r.doc_id: r.score for r in suffix_tree.score(docs, F.col("doc_id") % 10 == 0, bucket_bytes=5000, group_bytes=9000).collect()}
+    assert all(len({round(scores[k], 6) for k in g}) == 1 for g in groups.values())
+    packed = packing.pack(docs, PATH).collect()
+    assert sum(r.length for r in packed) == sum((len(library(t)) + 1) * len(g) for t, g in groups.items())
