@@ -38,8 +38,8 @@ from pyspark.sql import functions as F
 from .blobs import pack, unpack
 from .common import batch, cut, drop_cut, release, small_batches, text_of
 
-#: Text bytes of a group, and for each bucket.
-GROUP_BYTES, BUCKET_BYTES = 8_000_000, 4_000_000
+#: Text bytes of a group, and for each bucket; buckets of a task.
+GROUP_BYTES, BUCKET_BYTES, BUCKETS = 8_000_000, 4_000_000, 8
 #: Bits that tell a bucket's contexts apart, and the steps of a nat in which groups send their sums.
 NAME, STEPS = (1 << 48) - 1, 1024
 #: Kinds of messages: a group's stream, a depth's answers (from 1 on, for words), and totals.
@@ -346,8 +346,10 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     streams = made.where(F.col("kind") == STREAM)
     tasks = (made.agg(F.max(F.shiftright("grp", 32))).first()[0] or 0) + 1  # groups stay in as many tasks as wrote them
 
+    turns = -(-buckets // BUCKETS)  # a task takes its buckets one after the other
+
     def by_bucket(asked: DataFrame) -> DataFrame:
-        return asked.repartitionById(buckets, F.col("part").cast("int")).sortWithinPartitions("part")
+        return asked.repartitionById(turns, (F.col("part") % turns).cast("int")).sortWithinPartitions("part")
 
     def by_group(answers: list[DataFrame]) -> DataFrame:
         every = reduce(DataFrame.union, answers, streams)
