@@ -40,13 +40,13 @@ def byte_letters() -> list[str]:
 class Bounded(dict):
     """A table that fills itself through ``make`` and starts anew when it is full."""
 
-    def __init__(self, make: Callable):
-        self.make = make
+    def __init__(self, make: Callable, size: int = TABLE):
+        self.make, self.size = make, size
 
     def __missing__(self, key: str) -> bytes:
         value = self.make(key)
         if len(key) <= LONGEST:
-            if len(self) >= TABLE:
+            if len(self) >= self.size:
                 self.clear()
             self[key] = value
         return value
@@ -60,10 +60,11 @@ class SpacedEncoder:
     texts with white space before a space, and those with a special token, go to it at once.
     """
 
-    def __init__(self, whole: Callable[[str], bytes], special: list[str]):
-        self.whole = whole
+    def __init__(self, whole: Callable[[str], bytes], special: list[str], plain: Callable[[str], bytes] | None = None, size: int = TABLE):
+        """``plain`` encodes a text without special tokens, if that is faster; ``size`` bounds the table of words."""
+        self.whole, plain = whole, plain or whole
         self.odd = re.compile("|".join([r"\s ", *map(re.escape, special)]))
-        self.spaced = Bounded(lambda word: whole(" " + word))
+        self.spaced = Bounded(lambda word: plain(" " + word), size)
 
     def __call__(self, text: str) -> bytes:
         if self.odd.search(text):

@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from .bpe import PATTERN, SpacedEncoder, Vocabulary
 from .common import batch, cut, small_batches
 
+#: Words that a worker keeps the ids of.
+WORDS = 1_000_000
 _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("part", pa.int32()), ("rank", pa.int64())])
 _PIECE_SQL = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, part int, rank bigint"
 
@@ -161,14 +163,15 @@ def library_encoder(path: str) -> SpacedEncoder:
             ranks = {s: i for i, s in enumerate(vocab.strings) if s and i not in own}
             t = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=vocab.special)
             whole = lambda text: array("I", t.encode(text, allowed_special="all")).tobytes()
+            plain = lambda text: array("I", t.encode_ordinary(text)).tobytes()
         else:
             from tokenizers import Tokenizer
 
             t = Tokenizer.from_file(path)
             t.no_truncation()
             t.no_padding()
-            whole = lambda text: array("I", t.encode(text, add_special_tokens=False).ids).tobytes()
-        _encoders[path] = SpacedEncoder(whole, special)
+            plain = whole = lambda text: array("I", t.encode(text, add_special_tokens=False).ids).tobytes()
+        _encoders[path] = SpacedEncoder(whole, special, plain, WORDS)
     return _encoders[path]
 
 
