@@ -22,10 +22,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import PATTERN, SpacedEncoder, Vocabulary
-from .common import batch, cut, small_batches
+from .common import batch, cut, release, small_batches
 
-#: Words that a worker keeps the ids of.
-WORDS = 1_000_000
 _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("part", pa.int32()), ("rank", pa.int64())])
 _PIECE_SQL = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, part int, rank bigint"
 
@@ -127,6 +125,7 @@ def pieces(docs: DataFrame, path: str, size: int = 1024, end_id: int = 2, id_col
     """The pieces of every document's ids; ``rank`` counts a partition's pieces of the same length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()  # what the worker's earlier tasks left
         encode, end = library_encoder(path), end_id.to_bytes(4, "little")
         part, seen = TaskContext.get().partitionId(), Counter()
         for rows in batches:
@@ -171,7 +170,7 @@ def library_encoder(path: str) -> SpacedEncoder:
             t.no_truncation()
             t.no_padding()
             plain = whole = lambda text: array("I", t.encode(text, add_special_tokens=False).ids).tobytes()
-        _encoders[path] = SpacedEncoder(whole, special, plain, WORDS)
+        _encoders[path] = SpacedEncoder(whole, special, plain)
     return _encoders[path]
 
 
