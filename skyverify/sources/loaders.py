@@ -14,7 +14,7 @@ from contextlib import closing
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..model import ATTRIBUTES, KEYS, Dataset, Properties, Space, Time, infer_properties, validate, without_nan
@@ -118,9 +118,20 @@ def _leads(df: DataFrame) -> DataFrame:
     return df.withColumn("lead_s", seconds).drop("lead_time")
 
 
+def _natural(column: str) -> Column:
+    """A sort key of text whose runs of digits count as numbers, so that u9 comes before u10."""
+
+    def part(x: Column) -> Column:
+        digits = F.when(x.rlike("^[0-9]"), F.ltrim(x, F.lit("0")))
+        return F.struct(F.when(digits.isNull(), x).otherwise("").alias("text"), F.coalesce(F.length(digits), F.lit(0)).alias("size"), F.coalesce(digits, F.lit("")).alias("digits"))
+
+    return F.transform(F.regexp_extract_all(F.col(column), F.lit("[0-9]+|[^0-9]+"), F.lit(0)), part)
+
+
 def ordinal(df: DataFrame, column: str, name: str) -> DataFrame:
-    """``column`` with its rank from 0; of a table of places, not of cells."""
-    return df.withColumn(name, (F.row_number().over(Window.orderBy(column)) - 1).cast("long"))
+    """``column`` with its rank from 0, numbers in text by their size; of a table of places, not of cells."""
+    order = [_natural(column), F.col(column)] if dict(df.dtypes)[column] == "string" else [F.col(column)]
+    return df.withColumn(name, (F.row_number().over(Window.orderBy(*order)) - 1).cast("long"))
 
 
 def split_places(df: DataFrame, key: str, columns: tuple[str, ...] = ("longitude", "latitude", *ATTRIBUTES)) -> tuple[DataFrame, DataFrame | None]:

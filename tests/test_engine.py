@@ -17,6 +17,7 @@ from skyverify.functions.projections import PRESETS, corner_gap, create_crs, pro
 from skyverify.model import infer_properties
 from skyverify.plans import queries as registered
 from skyverify.plans import step_queries  # noqa: F401  registers more
+from skyverify.sources.loaders import ordinal
 from skyverify.sources.sinks import modal_date
 
 SF = "/root/testdata/sf0.001"
@@ -217,6 +218,19 @@ def test_query_matches_sql(spark, name):
     assert Counter(tuple(r) for r in df.select(*cols).collect()) == Counter(tuple(r[k] for k in order) for r in want.fetchall())
 
 
+def test_codes_are_numbered_by_their_numbers(spark, tmp_path):
+    """Users beyond u9999, whose order as plain text is another."""
+    con = duckdb.connect()
+    con.execute(f"COPY (SELECT event_id + 1000000 * k AS event_id, ts, user_id + 8991 * k AS user_id, event_type, value FROM '{SF}/events.parquet', range(12) AS r(k)) TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    want = con.execute(registered.SQL["load_cube_with_codes"]).fetchall()
+    got = registered.QUERIES["load_cube_with_codes"](spark, str(tmp_path))
+    assert {len(r[2]) for r in want} == {5, 6} and Counter(tuple(r) for r in got.collect()) == Counter(want)
+    codes = ["", "5", "010", "10", "a", "a2", "a02b", "a2c", "a10", "a00000000000000000000011", "ab1", "b"]
+    numbered = ordinal(spark.createDataFrame([(c,) for c in reversed(codes)], "code string"), "code", "nr")
+    assert [r.code for r in numbered.orderBy("nr").collect()] == codes and sorted(r.nr for r in numbered.collect()) == list(range(len(codes)))
+
+
 def test_contract():
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
