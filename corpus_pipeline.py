@@ -47,10 +47,10 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near duplicates, the first row: texts whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more.
+    """One document of each component of near duplicates, the first row: texts whose sets of 5-word shingles have SimHash fingerprints that differ in at most three bits, or a Jaccard similarity of 0.8 or more.
 
-    SimHash brings them together and whole sets decide; see ``simhash.near_copies``.  Texts of fewer
-    than five words are one shingle, so null, empty and blank ones equal each other.
+    See ``simhash.near_copies``.  Texts of fewer than five words are one shingle, so null, empty and
+    blank ones equal each other.
     """
     rows, texts = _numbered(docs)
     drop = simhash.near_copies(texts, "doc_id").where("node <> root").select(F.col("node").alias("nr"))

@@ -16,7 +16,7 @@ linear in what it read, and connectivity is kept exactly.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import combinations, repeat
 
 import numpy as np
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import batch, cut, drop_cut, join_counted, partitions, raw_texts, small_batches
 from .components import components
-from .jaccard import near_roots
+from .jaccard import near_roots, shingles
 
 BITS = 64
 #: Bits of a cell: the widest histogram that estimates use.
@@ -50,25 +50,36 @@ def fingerprint(raw: bytes, width: int = 3) -> int:
     if len(words) < width:
         return xxhash.xxh64_intdigest(b" ".join(words), 42)
     hashes = map(xxhash.xxh64_intdigest, map(b" ".join, zip(*(words[k:] for k in range(width)), strict=False)), repeat(42))
-    n, counts = len(words) - width + 1, np.zeros(BITS, np.int64)
-    for at in range(0, n, 65536):
-        some = np.fromiter(hashes, np.dtype("<u8"), min(65536, n - at))
-        counts += np.unpackbits(some.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    n = len(words) - width + 1
+    return _majority((np.fromiter(hashes, np.uint64, min(65536, n - at)) for at in range(0, n, 65536)), n)
+
+
+def set_fingerprint(raw: bytes, width: int = 5) -> int:
+    """SimHash of a text's set of shingles, each counted once, so that a line repeated many times doesn't outweigh the rest."""
+    h = shingles(raw, width).view(np.uint64)
+    return _majority((h[at : at + 65536] for at in range(0, len(h), 65536)), len(h))
+
+
+def _majority(hashes: Iterable[np.ndarray], n: int) -> int:
+    """The bits that are set in over half of ``n`` hashes, which come in pieces."""
+    counts = np.zeros(BITS, np.int64)
+    for some in hashes:
+        counts += _bits(some).sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
 
-def _fingerprints(width: int):
+def _fingerprints(width: int, of):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            fps = np.fromiter((fingerprint(raw, width) for raw in raw_texts(rows.column(1))), np.uint64, rows.num_rows)
+            fps = np.fromiter((of(raw, width) for raw in raw_texts(rows.column(1))), np.uint64, rows.num_rows)
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(fps.view(np.int64))], schema=_FPS)
 
     return run
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """``doc_id`` (long) and ``fp`` (the 64 bits as a signed long) of every row."""
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(_fingerprints(width), "doc_id bigint, fp bigint")
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, of=fingerprint) -> DataFrame:
+    """``doc_id`` (long) and ``fp`` (the 64 bits as a signed long) of every row; ``of`` makes them from a text's bytes and the width."""
+    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(_fingerprints(width, of), "doc_id bigint, fp bigint")
 
 
 def _bits(fps: np.ndarray) -> np.ndarray:
@@ -339,14 +350,13 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def near_copies(docs: DataFrame, nr_col: str = "nr", text_col: str = "text", width: int = 5, t: int = 3) -> DataFrame:
-    """``node, root`` of each text that is near another: sets of ``width``-word shingles with a Jaccard similarity of 0.8 or more.
+    """``node, root`` of each text that is near another: sets of ``width``-word shingles whose fingerprints differ in at most ``t`` bits, or that have a Jaccard similarity of 0.8 or more.
 
     ``root`` is the least number of the texts that such links join; ``nr_col`` numbers the rows and has
-    no null and no number twice.  A null text counts as empty.  Links of fingerprints of the same
-    shingles bring texts together first, each with the least of its component, and are verified on
-    the whole sets.  At that similarity fingerprints differ by ten bits on average, more than
-    pigeonholes can search, so ``jaccard`` finds the links that are left, without a loss.
+    no null and no number twice.  A null text counts as empty.  Links of fingerprints stand, also
+    below that similarity.  At it fingerprints differ by ten bits on average, more than pigeonholes
+    can search, so ``jaccard`` adds all links that have it.
     """
     small_batches(docs.sparkSession)
-    of = linked(cut(fingerprints(docs, nr_col, text_col, width)), t)
+    of = linked(cut(fingerprints(docs, nr_col, text_col, width, set_fingerprint)), t)
     return near_roots(docs, of.where("doc_id <> component_id").select(F.col("component_id").alias("u"), F.col("doc_id").alias("v")), nr_col, text_col, width)

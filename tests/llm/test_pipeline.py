@@ -3,8 +3,10 @@
 import random
 from itertools import combinations
 
+import xxhash
+
 import corpus_pipeline
-from skyverify.llm import jaccard
+from skyverify.llm import jaccard, simhash
 
 
 def shingled(text):
@@ -50,6 +52,43 @@ def test_near_stage_matches_all_pairs(spark, tmp_path):
     assert sorted(find(x) for x in got) == sorted({find(x) for x in range(len(texts))})
 
 
+def brute_fingerprint(text):
+    hashes = [xxhash.xxh64_intdigest(" ".join(s).encode(), 42) for s in shingled(text)]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def test_near_stage_keeps_links_of_fingerprints(spark, tmp_path, monkeypatch):
+    """Texts below the similarity whose fingerprints are close go by SimHash alone; a line repeated in different texts joins none."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    alike = lambda a, b: 9 * len(shingled(a) & shingled(b)) >= 4 * (len(shingled(a)) + len(shingled(b)))
+    texts = []
+    while len(texts) < 6:
+        base = [word() for _ in range(60)]
+        a, fp = " ".join(base), brute_fingerprint(" ".join(base))
+        for _ in range(500):
+            b = " ".join([*base[:-9], *(word() for _ in range(9))])
+            if (fp ^ brute_fingerprint(b)).bit_count() <= 3 and not alike(a, b):
+                texts += [a, b]
+                break
+    texts += [" ".join(["buy cheap pills online now"] * 45 + [word() for _ in range(240)]) for _ in range(4)] + [texts[0] + " end", " ".join(word() for _ in range(60))]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(2).write.parquet(str(tmp_path / "d"))
+    docs, root = spark.read.parquet(str(tmp_path / "d")), list(range(len(texts)))
+    find = lambda x: x if root[x] == x else find(root[x])
+    fps = [brute_fingerprint(t) for t in texts]
+    for a, b in combinations(range(len(texts)), 2):
+        if alike(texts[a], texts[b]) or (fps[a] ^ fps[b]).bit_count() <= 3:
+            root[max(find(a), find(b))] = min(find(a), find(b))
+    assert [find(k) for k in range(len(texts))] == [0, 0, 2, 2, 4, 4, 6, 7, 8, 9, 0, 11]
+    roots = {r.node: r.root for r in simhash.near_copies(docs, "doc_id").collect()}
+    assert [roots.get(k, k) for k in range(len(texts))] == [find(k) for k in range(len(texts))]
+    classes = lambda kept: sorted(find(r.doc_id) for r in kept.collect())
+    assert classes(corpus_pipeline.near(spark, docs, "")) == [0, 2, 4, 6, 7, 8, 9, 11]
+    none = spark.createDataFrame([], "doc_id bigint, component_id bigint")
+    monkeypatch.setattr(simhash, "linked", lambda fps, t: none)
+    assert classes(corpus_pipeline.near(spark, docs, "")) == [0, 0, 2, 2, 4, 4, 6, 7, 8, 9, 11]
+
+
 def test_rest_names_every_pair_of_different_labels(monkeypatch):
     import numpy as np
 
